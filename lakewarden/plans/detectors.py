@@ -23,7 +23,8 @@ from lakewarden.schemas import ALERT
 # is NULL and the ids are rows of ``alert_transactions``, which has no bound.
 MAX_INLINE_IDS = 10_000
 
-_NO_IDS = F.array().cast("array<string>")
+def _no_ids() -> Column:
+    return F.array().cast("array<string>")
 
 
 def attach_entity(df: DataFrame, accounts: DataFrame | None, emap: DataFrame) -> DataFrame:
@@ -48,9 +49,9 @@ def _alerts(
     score: Column | float,
     explanation: Column,
     evidence: dict[str, Column],
-    account_ids: Column = _NO_IDS,
-    related: Column = _NO_IDS,
-    transaction_ids: Column = _NO_IDS,
+    account_ids: Column | None = None,
+    related: Column | None = None,
+    transaction_ids: Column | None = None,
 ) -> DataFrame:
     pairs = [x for k, v in evidence.items() for x in (F.lit(k), v.cast("string"))]
     values = {
@@ -58,9 +59,9 @@ def _alerts(
         "alert_type": F.lit(alert_type),
         "severity": F.lit(severity) if isinstance(severity, str) else severity,
         "primary_entity_id": F.col("entity_id"),
-        "related_entity_ids": related,
-        "account_ids": account_ids,
-        "transaction_ids": transaction_ids,
+        "related_entity_ids": _no_ids() if related is None else related,
+        "account_ids": _no_ids() if account_ids is None else account_ids,
+        "transaction_ids": _no_ids() if transaction_ids is None else transaction_ids,
         "triggered_at": triggered_at,
         "score": F.lit(score) if isinstance(score, float) else score,
         "explanation": explanation,

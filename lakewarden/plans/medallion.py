@@ -25,7 +25,7 @@ from lakewarden.schemas import WATCHLIST
 
 # Thresholds that fit the amounts and dates of the bundled test tables.
 LEDGER_CFG = AlertConfig(
-    rapid_min_amount=20_000.0, freq_z=1.0, dormant_high_value=60_000.0,
+    rapid_min_amount=20_000.0, freq_z=0.3, dormant_high_value=60_000.0,
     ctr_threshold=60_000.0, struct_min_ratio=0.5, struct_window_days=730,
 )
 EVENT_CFG = AlertConfig(ato_amount=50.0)
@@ -162,7 +162,7 @@ class Lake:
             ),
         )
 
-    def anomalies(self, threshold: float = 2.0) -> DataFrame:
+    def anomalies(self, threshold: float = 1.5) -> DataFrame:
         behaviour = risk.customer_behaviour(self.roles.accounts(), self.ledger, AS_OF_LEDGER)
         return risk.peer_anomaly(self.roles.customers(), behaviour, threshold)
 

@@ -1 +1 @@
-"""lakewarden suite"""
+"""Registered queries with the SQL each one is checked against."""
