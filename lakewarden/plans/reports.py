@@ -165,8 +165,21 @@ def write_reports(reports: DataFrame, path: str) -> None:
     reports.write.mode("overwrite").parquet(path)
 
 
-def _filled(doc: Column, path: str) -> Column:
-    return F.trim(F.coalesce(F.xpath_string(doc, F.lit(path)), F.lit(""))) != ""
+_SHAPE = (
+    "rentity_id string, report_code string, entity_reference string,"
+    " activity struct<"
+    "suspicious_party: struct<party_name: string>,"
+    " goods_services: struct<currency_code: string, total_amount: string>,"
+    " transactions: struct<transaction: array<struct<transactionnumber: string, amount_local: string>>>,"
+    " reason: string>,"
+    " _corrupt string"
+)
+_ROOT = r"^\s*(<\?xml[^>]*\?>)?\s*<report[\s/>]"
+_ACTIVITY = r"<activity[\s/>]"
+
+
+def _filled(c: Column) -> Column:
+    return F.trim(F.coalesce(c, F.lit(""))) != ""
 
 
 def _numeric(c: Column) -> Column:
@@ -176,36 +189,32 @@ def _numeric(c: Column) -> Column:
 def validate_reports(reports: DataFrame, xml_col: str = "xml") -> DataFrame:
     """Twelve structural rules per document: valid, passed count and failed rules.
 
-    Documents that do not parse pass no rule. The parse check runs first and
-    malformed text is replaced before any XPath sees it.
+    Each document is parsed once into the fields the rules read; one that does
+    not parse passes no rule.
     """
-    parsed = F.from_xml(
-        F.col(xml_col), "root string, _corrupt string",
-        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"},
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    doc = F.col("_doc")
+    base = reports.withColumn("_doc", F.from_xml(F.col(xml_col), _SHAPE, options)).withColumn(
+        "_ok", F.col(xml_col).isNotNull() & doc["_corrupt"].isNull()
     )
-    base = reports.withColumn("_ok", F.col(xml_col).isNotNull() & parsed["_corrupt"].isNull())
-    doc = F.when(F.col("_ok"), F.col(xml_col)).otherwise("<none/>")
-    numbers = F.xpath(doc, F.lit("/report/activity/transactions/transaction/transactionnumber/text()"))
-    amounts = F.xpath(doc, F.lit("/report/activity/transactions/transaction/amount_local/text()"))
-    count = F.xpath_int(doc, F.lit("count(/report/activity/transactions/transaction)"))
-    every = (
-        (F.size(F.filter(numbers, lambda x: F.trim(x) != "")) == count)
-        & (F.size(F.filter(amounts, _numeric)) == count)
+    activity = doc["activity"]
+    txns = F.coalesce(activity["transactions"]["transaction"], F.array())
+    sound = F.forall(
+        txns, lambda t: _filled(t["transactionnumber"]) & F.coalesce(_numeric(t["amount_local"]), F.lit(False))
     )
-    goods = "/report/activity/goods_services"
     checks = [
         F.col("_ok"),
-        F.xpath_boolean(doc, F.lit("boolean(/report)")),
-        _filled(doc, "/report/rentity_id"),
-        F.xpath_string(doc, F.lit("/report/report_code")) == REPORT_CODE,
-        _filled(doc, "/report/entity_reference"),
-        F.xpath_boolean(doc, F.lit("boolean(/report/activity)")),
-        _filled(doc, "/report/activity/suspicious_party/party_name"),
-        _filled(doc, f"{goods}/currency_code"),
-        _numeric(F.xpath_string(doc, F.lit(f"{goods}/total_amount"))),
-        count >= 1,
-        every,
-        _filled(doc, "/report/activity/reason"),
+        F.col(xml_col).rlike(_ROOT),
+        _filled(doc["rentity_id"]),
+        doc["report_code"] == REPORT_CODE,
+        _filled(doc["entity_reference"]),
+        F.col(xml_col).rlike(_ACTIVITY),
+        _filled(activity["suspicious_party"]["party_name"]),
+        _filled(activity["goods_services"]["currency_code"]),
+        _numeric(activity["goods_services"]["total_amount"]),
+        F.size(txns) >= 1,
+        sound,
+        _filled(activity["reason"]),
     ]
     failed = F.array_compact(
         F.array(*[
@@ -213,14 +222,13 @@ def validate_reports(reports: DataFrame, xml_col: str = "xml") -> DataFrame:
             for label, c in zip(RULES, checks, strict=True)
         ])
     )
-    issues = F.when(F.col("_ok"), failed).otherwise(F.array(F.lit("not well-formed")))
     return (
-        base.withColumn("issues", issues)
+        base.withColumn("issues", F.when(F.col("_ok"), failed).otherwise(F.array(F.lit("not well-formed"))))
         .withColumn("checks_total", F.lit(len(RULES)))
         .withColumn(
             "checks_passed",
             F.when(F.col("_ok"), F.lit(len(RULES)) - F.size("issues")).otherwise(0),
         )
         .withColumn("valid", F.size("issues") == 0)
-        .drop("_ok")
+        .drop("_ok", "_doc")
     )
