@@ -146,3 +146,8 @@ TABLES = {
     "cases": CASE,
     "edges": EDGE,
 }
+
+
+def with_batch_id(schema: T.StructType) -> T.StructType:
+    """The schema plus the micro-batch number a path is partitioned by."""
+    return T.StructType([*schema, T.StructField("batch_id", T.LongType())])
