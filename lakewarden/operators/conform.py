@@ -7,21 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakewarden.operators.ranking import top_k
+
 
 def dedupe_latest(
     df: DataFrame, keys: Sequence[str], newest: Sequence[str | Column]
 ) -> DataFrame:
-    """One row per key: the greatest by ``newest``, compared left to right.
+    """One row per key: the greatest by ``newest``, compared left to right, NULLs last.
 
-    ``max_by`` combines on the map side, so a key repeated in a third of all rows
-    arrives at its reducer as one row per map task.
+    The rank filter becomes a group limit ahead of the shuffle, so a key repeated
+    in a third of all rows reaches its reducer as one row per map task.
     """
-    rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), F.struct(*newest)).alias("_row")
-    )
-    picked = best.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
-    return picked.select(*df.columns)
+    return top_k(df, keys, [F.desc(c) if isinstance(c, str) else c.desc() for c in newest], 1)
 
 
 def conform_feed(

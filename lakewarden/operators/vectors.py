@@ -75,12 +75,13 @@ def vector_topk(
         T.StructField("vec_id", kind),
         T.StructField("score", T.DoubleType()),
     ])
-    total = queries.count()
-    n_blocks = max(1, -(-total // block_rows))
-    blocks = (
-        queries.filter(F.pmod(F.xxhash64(ident), F.lit(n_blocks)) == i).collect()
-        for i in range(n_blocks)
-    )
+    head = queries.limit(block_rows + 1).collect()
+    if len(head) <= block_rows:
+        blocks = iter([head])
+    else:
+        n_blocks = -(-queries.count() // block_rows)
+        slot = F.pmod(F.xxhash64(ident), F.lit(n_blocks))
+        blocks = (queries.filter(slot == i).collect() for i in range(n_blocks))
     found = [_topk_block(b, corpus, k, ident, vector, out) for b in blocks if b]
     if not found:
         return queries.sparkSession.createDataFrame([], out).withColumn("rank", F.lit(0))

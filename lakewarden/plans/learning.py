@@ -148,17 +148,14 @@ def auc(df: DataFrame, score: str, label: str, ties: str = "min") -> DataFrame:
     )
 
 
-def upper_quartile(df: DataFrame, columns: list[str], share: float = 0.75) -> dict[str, float]:
-    """Exact percentile of discrete scores.
+def score_cuts(grid: DataFrame, columns: list[str], share: float = 0.75) -> dict[str, float]:
+    """Exact percentiles of discrete scores from (scores, count ``n``) rows.
 
-    Rows collapse to (value, count) on the map side; the scores are 0-100 with
-    one decimal, so at most 1,001 values per column reach the aggregate.
+    The scores are 0-100 with at most one decimal, so an aggregate holds at most
+    1,001 values per column whatever the row count.
     """
-    cuts = {}
-    for c in columns:
-        counts = df.groupBy(F.col(c).cast("double").alias("v")).agg(F.count("*").alias("n"))
-        cuts[c] = counts.agg(F.percentile("v", F.lit(share), F.col("n")).alias(c))
-    return cuts
+    cuts = [F.percentile(F.col(c).cast("double"), F.lit(share), F.col("n")).alias(c) for c in columns]
+    return grid.agg(*cuts).first().asDict()
 
 
 def model_metrics(
@@ -172,11 +169,9 @@ def model_metrics(
         .join(labels.select("case_id", "sar_filed"), "case_id")
     )
     grid = j.groupBy("ai_risk", "risk_score", "sar_filed").agg(F.count("*").alias("n"))
-    cut_ai, cut_rules = (
-        upper_quartile(j, ["ai_risk", "risk_score"])[c].first()[0] for c in ("ai_risk", "risk_score")
-    )
+    cuts = score_cuts(grid, ["ai_risk", "risk_score"])
     pos = F.col("sar_filed") == 1
-    flagged, ruled = F.col("ai_risk") >= cut_ai, F.col("risk_score") >= cut_rules
+    flagged, ruled = (F.col(c) >= F.lit(cut) for c, cut in cuts.items())
 
     def n(condition: Column) -> Column:
         return F.sum(F.when(condition, F.col("n")).otherwise(0))
