@@ -88,8 +88,9 @@ def evidence_brief(pack: DataFrame, currency: str = "ZAR") -> DataFrame:
 
 
 def _text(c: Column) -> Column:
-    """Empty strings become NULL, which the XML writer leaves out."""
-    return F.nullif(c.cast("string"), F.lit(""))
+    """Text fit for XML: control characters go, and an empty string is left out."""
+    plain = F.regexp_replace(c.cast("string"), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+    return F.nullif(plain, F.lit(""))
 
 
 def _money(c: Column) -> Column:
