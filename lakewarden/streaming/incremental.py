@@ -1,15 +1,17 @@
 """File arrival -> alerts: recompute only the accounts a batch touches.
 
-The streamed ledger is an append-only table; newest-ingest-wins is applied when
-it is read together with the batch ledger. Each micro-batch writes below its own
-batch number, so a replayed batch overwrites its own output and nothing else.
+The streamed ledger is an append-only table partitioned by a hash of the account;
+newest-ingest-wins is applied when it is read together with the batch ledger.
+Each micro-batch writes below its own batch number, so a replayed batch
+overwrites its own output and nothing else.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,38 +20,98 @@ from lakewarden.schemas import ALERT, with_batch_id
 
 Detector = Callable[[DataFrame], DataFrame]
 
+BUCKETS = 256
+_BUCKET = "account_bucket"
 
-def _batch_path(root: str, part: str, batch_id: int) -> str:
-    return f"{root}/{part}/batch_id={batch_id}"
+
+def account_bucket() -> Column:
+    """Partition number of an account; a batch ledger carrying it is pruned too."""
+    return F.pmod(F.xxhash64("account_id"), F.lit(BUCKETS)).cast("int")
+
+
+def _save(df: DataFrame, root: str, part: str, batch_id: int, *partition_by: str) -> None:
+    path = f"{root}/{part}/batch_id={batch_id}"
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+
+
+def _read(spark: SparkSession, root: str, part: str, schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{root}/{part}")
+
+
+def _of_accounts(df: DataFrame, touched: DataFrame, buckets: list[int]) -> DataFrame:
+    """Rows of the touched accounts, reading only their partitions where there are any."""
+    if _BUCKET in df.columns:
+        df = df.filter(F.col(_BUCKET).isin(buckets)).drop(_BUCKET)
+    return df.join(touched, "account_id", "left_semi")
+
+
+def _step(
+    batch: DataFrame, batch_id: int, batch_ledger: DataFrame, detect: Detector, root: str,
+    fixed_accounts: bool,
+) -> None:
+    spark = batch.sparkSession
+    placed = batch.withColumn(_BUCKET, account_bucket())
+    _save(placed, root, "ledger", batch_id, _BUCKET)
+    streamed = _read(spark, root, "ledger", with_batch_id(placed.schema)).filter(
+        F.col("batch_id") <= batch_id
+    )
+    new = streamed.filter(F.col("batch_id") == batch_id)
+
+    moves = _moves(new, batch_ledger, streamed.filter(F.col("batch_id") < batch_id))
+    if fixed_accounts:
+        moves = moves.limit(0)
+    _save(moves, root, "moves", batch_id)
+    moved = _read(spark, root, "moves", with_batch_id(moves.schema)).filter(
+        F.col("batch_id") <= batch_id
+    )
+    left = moved.filter(F.col("batch_id") == batch_id).select(F.col("old_account").alias("account_id"))
+    _save(new.select("account_id").unionByName(left).distinct(), root, "touched", batch_id)
+
+    touched = spark.read.parquet(f"{root}/touched/batch_id={batch_id}")
+    buckets = [r[0] for r in touched.select(account_bucket()).distinct().collect()]
+    ledger = conform_transactions(
+        _of_accounts(batch_ledger, touched, buckets),
+        _of_accounts(streamed.drop("batch_id"), touched, buckets),
+    )
+    now_at = moved.groupBy("transaction_id").agg(
+        F.max_by("new_account", "batch_id").alias("_now")
+    )
+    settled = ledger.join(now_at, "transaction_id", "left").filter(
+        F.col("_now").isNull() | (F.col("_now") == F.col("account_id"))
+    )
+    _save(detect(settled.drop("_now")), root, "alerts", batch_id)
+
+
+def _moves(new: DataFrame, batch_ledger: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Transactions a correction books on another account than before."""
+    columns = ["transaction_id", F.col("account_id").alias("old_account")]
+    prior = batch_ledger.select(*columns).unionByName(earlier.select(*columns))
+    return (
+        new.select("transaction_id", F.col("account_id").alias("new_account"))
+        .join(prior, "transaction_id")
+        .filter(F.col("old_account") != F.col("new_account"))
+        .select("transaction_id", "old_account", "new_account")
+        .distinct()
+    )
 
 
 def run_incremental(
-    lane: DataFrame, batch_ledger: DataFrame, detect: Detector, root: str, checkpoint: str
+    lane: DataFrame, batch_ledger: DataFrame, detect: Detector, root: str, checkpoint: str,
+    fixed_accounts: bool = False,
 ) -> StreamingQuery:
     """Process what has arrived: append it, then re-run ``detect`` for its accounts.
 
     ``detect`` maps a conformed ledger to alerts and is called with the whole
-    history of the touched accounts only.
+    history of the touched accounts only. A correction may move a transaction to
+    another account; finding those reads the transaction ids of the ledger. A feed
+    that never does so can set ``fixed_accounts``, and then only the partitions of
+    touched accounts are read.
     """
-    spark = lane.sparkSession
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_batch_path(root, "ledger", batch_id))
-        new = spark.read.parquet(_batch_path(root, "ledger", batch_id))
-        touched = new.select("account_id").distinct()
-        touched.write.mode("overwrite").parquet(_batch_path(root, "touched", batch_id))
-        streamed = (
-            spark.read.option("basePath", f"{root}/ledger").schema(with_batch_id(new.schema))
-            .parquet(f"{root}/ledger").filter(F.col("batch_id") <= batch_id).drop("batch_id")
-        )
-        ledger = conform_transactions(
-            batch_ledger.join(touched, "account_id", "left_semi"),
-            streamed.join(touched, "account_id", "left_semi"),
-        )
-        detect(ledger).write.mode("overwrite").parquet(_batch_path(root, "alerts", batch_id))
-
+    step = partial(
+        _step, batch_ledger=batch_ledger, detect=detect, root=root, fixed_accounts=fixed_accounts
+    )
     return (
-        lane.writeStream.foreachBatch(step)
+        lane.writeStream.foreachBatch(lambda batch, batch_id: step(batch, batch_id))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -58,9 +120,12 @@ def run_incremental(
 
 def current_alerts(spark: SparkSession, root: str) -> DataFrame:
     """Alerts as of the last run: per account only those of its latest batch."""
-    alerts = spark.read.schema(with_batch_id(ALERT)).parquet(f"{root}/alerts")
-    touched = spark.read.schema("account_id string, batch_id bigint").parquet(f"{root}/touched")
-    latest = touched.groupBy("account_id").agg(F.max("batch_id").alias("batch_id"))
+    alerts = _read(spark, root, "alerts", with_batch_id(ALERT))
+    latest = (
+        _read(spark, root, "touched", "account_id string, batch_id bigint")
+        .groupBy("account_id")
+        .agg(F.max("batch_id").alias("batch_id"))
+    )
     owner = F.col("account_ids")[0].alias("account_id")
     return (
         alerts.select("*", owner)

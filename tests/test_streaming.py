@@ -55,7 +55,7 @@ def test_late_correction_wins(spark, tmp_path):
 def test_incremental_equals_batch(spark, tmp_path, accounts, emap):
     src, root = tmp_path / "in", str(tmp_path / "run")
     cfg = AlertConfig()
-    batch = stream_free = spark.createDataFrame([("b1", "A1"), ("b2", "A2"), ("b3", "A2")], "transaction_id string, account_id string").selectExpr(
+    batch = spark.createDataFrame([("b1", "A1"), ("b2", "A2"), ("b3", "A2")], "transaction_id string, account_id string").selectExpr(
         "*", "null as from_acct", "null as to_acct", "'credit' as direction", "20000D as amount", "'atm' as channel",
         "'cash' as merchant_category", "timestamp'2024-01-01 08:00:00' as txn_ts", "null as counterparty_id",
         "timestamp'2024-01-01 08:00:00' as _ingested_at",
@@ -73,7 +73,10 @@ def test_incremental_equals_batch(spark, tmp_path, accounts, emap):
     assert run() == {"A2": ["b2", "b3", "s2"]}
     land(src, "2.json", [txn("s3", "A1"), txn("s2", "A2", amount=1.0)])  # a correction takes A2 below the count
     assert run() == {"A1": ["b1", "s1", "s3"]}
-    assert stream_free is batch
+    land(src, "3.json", [txn("s3", "A2"), txn("s4", "A2"), txn("s5", "A2")])  # s3 moves from A1 to A2
+    assert run() == {"A2": ["b2", "b3", "s3", "s4", "s5"]}
+    land(src, "4.json", [txn("s6", "A1")])  # A1 is recomputed without the moved one
+    assert run() == {"A1": ["b1", "s1", "s6"], "A2": ["b2", "b3", "s3", "s4", "s5"]}
 
 
 def test_stateful_travel_spans_batches(spark, tmp_path):
