@@ -345,12 +345,12 @@ def _(lake):
 @query("alert_metric_view", """
 SELECT alert_type, severity, CAST(CAST(triggered_at AS DATE) AS VARCHAR) AS triggered_date, count(*) AS alert_count,
   count(DISTINCT primary_entity_id) AS distinct_entities, count(*) FILTER (severity = 'critical') AS critical_alerts,
-  round(avg(score), 4) AS average_score FROM alerts GROUP BY 1, 2, 3""")
+  round(avg(score), 9) AS average_score FROM alerts GROUP BY 1, 2, 3""")
 def _(lake):
     df = aq.alert_metrics(lake.alerts).query(
         ["alert_type", "severity", "triggered_date"],
         ["alert_count", "distinct_entities", "critical_alerts", "average_score"],
     )
     return df.withColumns(
-        {"triggered_date": F.col("triggered_date").cast("string"), "average_score": F.round("average_score", 4)}
+        {"triggered_date": F.col("triggered_date").cast("string"), "average_score": F.round("average_score", 9)}
     )
