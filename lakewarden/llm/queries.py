@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewarden.llm.common import documents
+from lakewarden.llm.decontam import contaminated
 from lakewarden.llm.linededup import dedup_lines
 from lakewarden.llm.neardup import near_duplicates
 
@@ -20,6 +21,26 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+SQL["op1_decontamination"] = r"""
+WITH texts AS (
+  SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+words AS (
+  SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM texts),
+sets AS (
+  SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle FROM words),
+sizes AS (SELECT id, count(*) AS n_item FROM sets WHERE kind = 1 GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared, any_value(n_item) AS n_item
+FROM sets d JOIN sets b ON d.shingle = b.shingle AND d.kind = 0 AND b.kind = 1 JOIN sizes s ON s.id = b.id
+GROUP BY d.id, b.id HAVING 100 * count(*) >= 80 * any_value(n_item)"""
+
+
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -29,7 +50,9 @@ SQL["op3_line_dedup"] = r"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
 numbered AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM docs),
 keyed AS (
-  SELECT *, translate(regexp_replace(regexp_replace(line, '^[ 	-]+', ''), '[ 	-]+$', ''),
+  SELECT *, translate(regexp_replace(regexp_replace(line, '^[ 	-
+]+', ''), '[ 	-
+]+$', ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM numbered),
 owners AS (SELECT key, min(doc_id) AS owner FROM keyed WHERE length(key) >= 10 GROUP BY key),
 judged AS (SELECT k.*, coalesce(o.owner, k.doc_id) = k.doc_id AS stays FROM keyed k LEFT JOIN owners o USING (key))
