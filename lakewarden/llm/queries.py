@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import documents
+from lakewarden.llm.common import documents, pinned
 from lakewarden.llm.decontam import contaminated
 from lakewarden.llm.linededup import dedup_lines
 from lakewarden.llm.neardup import near_duplicates
+from lakewarden.llm.rules import calibrate, quality_rules, with_statistics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,3 +68,11 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"),
         F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"),
     )
+
+
+@query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = pinned(with_statistics(documents(spark, sf_dir)).select("doc_id", "rules"), "rules")
+    judged = quality_rules(stats, calibrate(stats, documents(spark, sf_dir, "labels")))
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return judged.select("doc_id", *[f"rules.{c}" for c in base], "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
