@@ -12,6 +12,7 @@ from lakewarden.llm.decontam import contaminated
 from lakewarden.llm.linededup import dedup_lines
 from lakewarden.llm.neardup import near_duplicates
 from lakewarden.llm.rules import calibrate, quality_rules, with_statistics
+from lakewarden.llm.secrets import BASE_KINDS, find_secrets, span_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,6 +43,17 @@ FROM sets d JOIN sets b ON d.shingle = b.shingle AND d.kind = 0 AND b.kind = 1 J
 GROUP BY d.id, b.id HAVING 100 * count(*) >= 80 * any_value(n_item)"""
 
 
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(documents(spark, sf_dir))
+    count = lambda k: F.size(F.filter("secrets", lambda m: m["kind"] == k)).cast("bigint")
+    base = F.filter("secrets", lambda m: m["kind"] < len(BASE_KINDS))
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(BASE_KINDS)],
+        F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("secrets")).alias("spans"),
+    )
+
+
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
