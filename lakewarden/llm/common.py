@@ -41,8 +41,8 @@ def _ship(spark: SparkSession) -> None:
 def prepare(spark: SparkSession) -> SparkSession:
     """Ship the code; small Arrow batches, so that very long texts never meet by the thousand in one."""
     _ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
 
 

@@ -11,9 +11,19 @@ from lakewarden.llm.common import documents, pinned
 from lakewarden.llm.decontam import contaminated
 from lakewarden.llm.linededup import dedup_lines
 from lakewarden.llm.neardup import near_duplicates
+from lakewarden.llm.pieces import encode_and_decode, token_digests
 from lakewarden.llm.rules import calibrate, quality_rules, with_statistics
 from lakewarden.llm.secrets import BASE_KINDS, find_secrets, span_text
 
+
+
+def piece_model() -> str:
+    """Path of the 32k merge-type vocabulary among the public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -74,6 +84,12 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
 FROM judged GROUP BY doc_id"""
 
 
+@query
+def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return token_digests(encode_and_decode(docs, piece_model())).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 @query
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select(
