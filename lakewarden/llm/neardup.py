@@ -10,7 +10,7 @@
    (0.85 minus six standard deviations); its full sets then decide, in integers.
 4. Links become components by large-star and small-star steps.
 5. A bucket whose members are in one component is done. Otherwise its next members become
-   centres, twice as many each round, against members of other components, until every
+   centres, 64 and then 16 times as many each round, against members of other components, until every
    bucket is in one component or all its pairs were tried: no link between different
    texts is lost and no size is capped.
 """
@@ -33,6 +33,10 @@ BANDS, ROWS = 25, 5
 PERCENT = 85
 #: Agreeing minima that a candidate needs: (0.85 - 6 * sqrt(0.85 * 0.15 / 125)) * 125.
 SURE = 82
+#: Centres of a bucket in the second round; later rounds take 16 times as many each.
+HEADS = 64
+#: 64-bit words of the bitmap of ids whose texts a round needs.
+MARK_WORDS = 1 << 20
 _CHUNK = 1024
 
 
@@ -71,9 +75,29 @@ def _signatures(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-    found = [np.unique(shingle_hashes(word_hashes(b.as_py()))).tobytes() for b in batch.column(1)]
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "found"])
+def _marks(ids: DataFrame) -> np.ndarray:
+    """A bitmap with a bit for the hash of each id: at most 8 MB, whatever the number of ids.
+
+    Bits are set in Spark; where ids are so many that most bits are set, more texts than
+    needed are taken, and nothing is lost.
+    """
+    spot = F.xxhash64("id").bitwiseAND(F.lit(64 * MARK_WORDS - 1))
+    words = ids.select(F.shiftright(spot, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), spot.bitwiseAND(F.lit(63)).cast("int")).alias("m"))
+    out = np.zeros(MARK_WORDS, np.int64)
+    for batch in words.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow().to_batches():
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return out
+
+
+def _sets_of(marks: np.ndarray):
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spot = batch.column(2).to_numpy() & (64 * len(marks) - 1)
+        wanted = pa.array((marks[spot >> 6] >> (spot & 63)) & 1 == 1)
+        ids, bodies = batch.column(0).filter(wanted), batch.column(1).filter(wanted)
+        found = [np.unique(shingle_hashes(word_hashes(b.as_py()))).tobytes() for b in bodies]
+        return pa.RecordBatch.from_arrays([ids, pa.array(found, pa.binary())], names=["id", "found"])
+
+    return sets
 
 
 def _agree(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -99,21 +123,23 @@ def _linked(percent: int):
 
 
 class _Links:
-    """Tests candidate pairs (a < b) of representatives; each pair is tested once."""
+    """Tests candidate pairs (a < b) of representatives, by signature and then by full sets."""
 
     def __init__(self, docs: DataFrame, reps: DataFrame, percent: int):
         self.docs, self.sigs, self.percent = docs, reps.select("id", "sig"), percent
 
-    def of(self, pairs: DataFrame) -> DataFrame:
+    def of(self, pairs: DataFrame) -> DataFrame | None:
         left = self.sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa"))
         right = self.sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
         near = pinned(
             arrow_pass(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), _agree, "a bigint, b bigint"),
             "candidates",
         )
-        needed = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-        sets = pinned(arrow_pass(self.docs.join(needed, "id", "left_semi"), _sets, "id bigint, found binary"), "sets")
-        sets = sets.dropDuplicates(["id"])
+        marks = _marks(near.select(F.col("a").alias("id")).union(near.select("b")))
+        if not marks.any():
+            return None
+        texts = self.docs.select("id", "body", F.xxhash64("id").alias("spot"))
+        sets = pinned(arrow_pass(texts, _sets_of(marks), "id bigint, found binary"), "sets").dropDuplicates(["id"])
         full = (
             near.join(sets.select(F.col("id").alias("a"), F.col("found").alias("fa")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("found").alias("fb")), "b")
@@ -121,14 +147,6 @@ class _Links:
         return pinned(arrow_pass(full.select("a", "b", "fa", "fb"), _linked(self.percent), "a bigint, b bigint"), "links")
 
 
-def _relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    parts = connected_components(links)
-    return (
-        members.join(parts.withColumnRenamed("node", "id"), "id", "left")
-        .select("band", "id", F.coalesce("component", "id").alias("part"))
-    )
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component) for each row of ``docs``.
 
@@ -159,31 +177,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = pinned(buckets.join(centres, "band").select("band", "a", "id"), "buckets")
 
     test = _Links(raw.where("id is not null"), reps, percent)
-    tried = pinned(members.where("id != a").select("a", F.col("id").alias("b")).distinct(), "pairs")
-    links = test.of(tried).union(ties)
-    rest = _relabelled(members.where("id != a").select("band", "id"), links)
-
-    width = 1
+    rest = members.where("id != a")
+    tried = pinned(rest.select("a", F.col("id").alias("b")).distinct(), "pairs")
+    first = test.of(tried)
+    parts = connected_components(ties if first is None else ties.union(first))
+    rest = rest.select("band", "id")
+    width = HEADS
     while True:
-        mixed = rest.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("band")
-        rest = pinned(rest.join(mixed, "band", "left_semi"), "rest")
+        labelled = (
+            rest.join(parts.withColumnRenamed("node", "id"), "id", "left")
+            .select("band", "id", F.coalesce("component", "id").alias("part"))
+        )
+        mixed = labelled.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("band")
+        rest = pinned(labelled.join(mixed, "band", "left_semi"), "rest")
         if rest.isEmpty():
             break
-        width *= 2
         order = Window.partitionBy("band").orderBy("id")
-        heads = rest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= width).select("band", F.col("id").alias("head"), F.col("part").alias("head_part"))
-        heads = pinned(heads, "heads")
+        heads = pinned(
+            rest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= width)
+            .select("band", F.col("id").alias("head"), F.col("part").alias("head_part")),
+            "heads",
+        )
         pairs = (
-            rest.join(heads, "band").where("part != head_part and id != head")
+            rest.join(heads, "band").where("part != head_part")
             .select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct()
         )
         fresh = pinned(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = test.of(fresh)
+        if more is not None:
+            stars = parts.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+            parts = connected_components(stars.union(more))
         tried = tried.union(fresh)
-        links = links.union(test.of(fresh))
-        left = rest.join(heads.select("band", F.col("head").alias("id")), ["band", "id"], "left_anti").select("band", "id")
-        rest = _relabelled(left, links)
+        rest = rest.join(heads.select("band", F.col("head").alias("id")), ["band", "id"], "left_anti").select("band", "id")
+        width *= 16
 
-    parts = connected_components(links)
     whole = (
         member_of.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
         .groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
