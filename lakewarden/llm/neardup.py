@@ -9,10 +9,10 @@
 3. A candidate pair goes on if its signatures agree in at least ``SURE`` of the minima
    (0.85 minus six standard deviations); its full sets then decide, in integers.
 4. Links become components by large-star and small-star steps.
-5. A bucket whose members are in one component is done. Otherwise its next members become
-   centres, 64 and then 16 times as many each round, against members of other components, until every
-   bucket is in one component or all its pairs were tried: no link between different
-   texts is lost and no size is capped.
+5. A bucket whose members are in one component is done. In the others every pair of
+   members of different components is compared in blocks of bounded size, exactly, and
+   emitted only if it links: no link between different texts is lost, no size is capped and
+   no group is paired out as rows.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakewarden.llm.common import arrow_pass, flat_lists, ids_and_bytes, joined_columns, pinned, shingle_hashes, word_hashes
@@ -33,8 +33,10 @@ BANDS, ROWS = 25, 5
 PERCENT = 85
 #: Agreeing minima that a candidate needs: (0.85 - 6 * sqrt(0.85 * 0.15 / 125)) * 125.
 SURE = 82
-#: Centres of a bucket in the second round; later rounds take 16 times as many each.
-HEADS = 64
+#: Rows and shingles that a block of members holds; a block of heads holds a quarter.
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 16
+#: Columns of the matrices of two blocks at once.
+_COLUMNS = 4096
 #: 64-bit words of the bitmap of ids whose texts a round needs.
 MARK_WORDS = 1 << 20
 _CHUNK = 1024
@@ -89,10 +91,14 @@ def _marks(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def _marked(marks: np.ndarray, spots: pa.Array) -> pa.Array:
+    spot = spots.to_numpy() & (64 * len(marks) - 1)
+    return pa.array((marks[spot >> 6] >> (spot & 63)) & 1 == 1)
+
+
 def _sets_of(marks: np.ndarray):
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spot = batch.column(2).to_numpy() & (64 * len(marks) - 1)
-        wanted = pa.array((marks[spot >> 6] >> (spot & 63)) & 1 == 1)
+        wanted = _marked(marks, batch.column(2))
         ids, bodies = batch.column(0).filter(wanted), batch.column(1).filter(wanted)
         found = [np.unique(shingle_hashes(word_hashes(b.as_py()))).tobytes() for b in bodies]
         return pa.RecordBatch.from_arrays([ids, pa.array(found, pa.binary())], names=["id", "found"])
@@ -100,6 +106,14 @@ def _sets_of(marks: np.ndarray):
     return sets
 
 
+def _sigs_of(marks: np.ndarray):
+    def sigs(batch: pa.RecordBatch) -> pa.RecordBatch:
+        wanted = _marked(marks, batch.column(2))
+        return pa.RecordBatch.from_arrays([batch.column(0).filter(wanted), batch.column(1).filter(wanted)], names=["id", "sig"])
+
+    return sigs
+
+
 def _agree(batch: pa.RecordBatch) -> pa.RecordBatch:
     a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(-1, BANDS * ROWS) for c in batch.columns[2:])
     keep = pa.array((a == b).sum(axis=1) >= SURE)
@@ -122,30 +136,105 @@ def _linked(percent: int):
     return check
 
 
+def _halves(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The upper 32 bits of each hash of a set: equal hashes stay equal."""
+    low = [(np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column(1)]
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.binary())], names=["id", "low"])
+
+
+def _table(rows: list[dict], columns: np.ndarray) -> np.ndarray:
+    """How often each row's set has each of the sorted ``columns``."""
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    for k, row in enumerate(rows):
+        values = np.frombuffer(row["low"], np.uint32)
+        at = np.minimum(np.searchsorted(columns, values), len(columns) - 1)
+        np.add.at(out[k], at[columns[at] == values], 1)
+    return out
+
+
+def _across(percent: int):
+    def links(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Pairs of two blocks, in different components, whose halves reach ``percent``."""
+        a, b = [], []
+        for members, heads in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            values = np.unique(np.concatenate([np.frombuffer(h["low"], np.uint32) for h in heads]))
+            shared = np.zeros((len(heads), len(members)), np.float32)
+            for at in range(0, len(values), _COLUMNS):
+                part = values[at:at + _COLUMNS]
+                shared += np.minimum(_table(heads, part), 1) @ _table(members, part).T
+            sizes = [np.array([len(r["low"]) // 4 for r in side], np.float64) for side in (heads, members)]
+            parts = [np.array([r["part"] for r in side]) for side in (heads, members)]
+            near = (100 * shared >= percent * (sizes[0][:, None] + sizes[1][None, :] - shared)) & (parts[0][:, None] != parts[1][None, :])
+            for i, j in zip(*np.nonzero(near)):
+                x, y = heads[i]["id"], members[j]["id"]
+                a.append(min(x, y))
+                b.append(max(x, y))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return links
+
+
 class _Links:
-    """Tests candidate pairs (a < b) of representatives, by signature and then by full sets."""
+    """Exact links among pairs of representatives, or within buckets of several components."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, percent: int):
-        self.docs, self.sigs, self.percent = docs, reps.select("id", "sig"), percent
+    def __init__(self, docs: DataFrame, signed: DataFrame, percent: int):
+        self.docs, self.signed, self.percent = docs, signed, percent
 
-    def of(self, pairs: DataFrame) -> DataFrame | None:
-        left = self.sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa"))
-        right = self.sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
-        near = pinned(
-            arrow_pass(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), _agree, "a bigint, b bigint"),
-            "candidates",
-        )
-        marks = _marks(near.select(F.col("a").alias("id")).union(near.select("b")))
+    def _sets(self, ids: DataFrame) -> DataFrame | None:
+        marks = _marks(ids)
         if not marks.any():
             return None
         texts = self.docs.select("id", "body", F.xxhash64("id").alias("spot"))
-        sets = pinned(arrow_pass(texts, _sets_of(marks), "id bigint, found binary"), "sets").dropDuplicates(["id"])
+        return pinned(arrow_pass(texts, _sets_of(marks), "id bigint, found binary"), "sets").dropDuplicates(["id"])
+
+    def _exact(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         full = (
-            near.join(sets.select(F.col("id").alias("a"), F.col("found").alias("fa")), "a")
+            pairs.join(sets.select(F.col("id").alias("a"), F.col("found").alias("fa")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("found").alias("fb")), "b")
         )
         return pinned(arrow_pass(full.select("a", "b", "fa", "fb"), _linked(self.percent), "a bigint, b bigint"), "links")
 
+    def of(self, pairs: DataFrame) -> DataFrame | None:
+        """Pairs go by their signatures, then by their sets."""
+        marks = _marks(pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
+        if not marks.any():
+            return None
+        sigs = arrow_pass(self.signed.select("id", "sig", F.xxhash64("id").alias("spot")), _sigs_of(marks), "id bigint, sig binary").dropDuplicates(["id"])
+        near = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+        near = pinned(arrow_pass(near.select("a", "b", "sa", "sb"), _agree, "a bigint, b bigint"), "candidates")
+        sets = self._sets(near.select(F.col("a").alias("id")).union(near.select("b")))
+        return None if sets is None else self._exact(near, sets)
+
+    def across(self, rest: DataFrame) -> DataFrame | None:
+        """Links between components that share a bucket; ``rest`` has band, id and part.
+
+        Every pair of different components has a side outside the largest component of the
+        bucket. Those sides are the heads. Members and heads are dealt into blocks of bounded
+        size, and pairs of blocks are compared by one product of matrices each: no pair is a
+        row until its halved hashes pass; then the full sets decide.
+        """
+        sets = self._sets(rest.select("id"))
+        if sets is None:
+            return None
+        sizes = sets.select("id", (F.length("found") / 8).cast("bigint").alias("n"))
+        rows = pinned(rest.join(sizes, "id"), "rows")
+        largest = rows.groupBy("band", "part").agg(F.count("*").alias("c"), F.sum("n").alias("t")).groupBy("band").agg(
+            F.max_by("part", F.struct("c", "part")).alias("giant"), F.sum("c").alias("c"), F.sum("t").alias("t"),
+            F.max("c").alias("gc"), F.max_by("t", F.struct("c", "part")).alias("gt"),
+        )
+        blocks = lambda c, t, scale: F.greatest(F.ceil(c / (BLOCK_ROWS / scale)), F.ceil(t / (BLOCK_SHINGLES / scale)), F.lit(1))
+        spread = F.abs(F.xxhash64("id") % F.lit(1 << 40))
+        rows = pinned(rows.join(largest, "band").select(
+            "band", "id", "part", (spread % blocks(F.col("c"), F.col("t"), 1)).alias("mb"),
+            F.when(F.col("part") != F.col("giant"), spread % blocks(F.col("c") - F.col("gc"), F.col("t") - F.col("gt"), 4)).alias("hb"),
+        ), "rows")
+        full = rows.join(arrow_pass(sets, _halves, "id bigint, low binary"), "id")
+        block = F.collect_list(F.struct("id", "part", "low"))
+        members = full.groupBy("band", "mb").agg(block.alias("members")).drop("mb")
+        heads = full.where("hb is not null").groupBy("band", "hb").agg(block.alias("heads")).drop("hb")
+        found = arrow_pass(members.join(heads, "band").select("members", "heads"), _across(self.percent), "a bigint, b bigint")
+        return self._exact(pinned(found.distinct(), "found"), sets)
+
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component) for each row of ``docs``.
@@ -163,53 +252,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     usable = signed.where("id is not null and print is not null")
 
     # one representative for each set
-    groups = pinned(usable.groupBy("print").agg(F.min_by(F.struct("id", "sig", "bands"), "id").alias("r")).select("print", "r.*"), "representatives")
-    member_of = usable.select("id", "print").join(groups.select("print", F.col("id").alias("rep")), "print").select("id", "rep")
+    groups = usable.groupBy("print").agg(F.min("id").alias("rep"))
+    member_of = pinned(usable.select("id", "print").join(groups, "print").select("id", "rep"), "members")
     # ids that stand for several sets tie these together
     ties = member_of.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("id")
     ties = member_of.join(ties, "id", "left_semi").select(F.col("rep").alias("a"), F.col("id").alias("b"))
 
-    # an id whose rows have several sets has several signatures: the tables are keyed by id, so only its first goes on
-    reps = groups.groupBy("id").agg(F.min_by(F.struct("sig", "bands"), "print").alias("r")).select("id", "r.*")
-    reps = pinned(reps, "keys")
-    buckets = reps.select("id", F.posexplode("bands").alias("k", "h")).select(F.xxhash64("k", "h").alias("band"), "id")
-    centres = buckets.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
+    reps = member_of.where("id = rep").select("id").distinct()
+    buckets = usable.select("id", "bands").join(reps, "id", "left_semi").select("id", F.posexplode("bands").alias("k", "h"))
+    buckets = buckets.select(F.xxhash64("k", "h").alias("band"), "id")
+    centres = buckets.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a != z").select("band", "a")
     members = pinned(buckets.join(centres, "band").select("band", "a", "id"), "buckets")
 
-    test = _Links(raw.where("id is not null"), reps, percent)
-    rest = members.where("id != a")
-    tried = pinned(rest.select("a", F.col("id").alias("b")).distinct(), "pairs")
-    first = test.of(tried)
-    parts = connected_components(ties if first is None else ties.union(first))
-    rest = rest.select("band", "id")
-    width = HEADS
-    while True:
-        labelled = (
-            rest.join(parts.withColumnRenamed("node", "id"), "id", "left")
-            .select("band", "id", F.coalesce("component", "id").alias("part"))
-        )
-        mixed = labelled.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("band")
-        rest = pinned(labelled.join(mixed, "band", "left_semi"), "rest")
-        if rest.isEmpty():
-            break
-        order = Window.partitionBy("band").orderBy("id")
-        heads = pinned(
-            rest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= width)
-            .select("band", F.col("id").alias("head"), F.col("part").alias("head_part")),
-            "heads",
-        )
-        pairs = (
-            rest.join(heads, "band").where("part != head_part")
-            .select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct()
-        )
-        fresh = pinned(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = test.of(fresh)
-        if more is not None:
-            stars = parts.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-            parts = connected_components(stars.union(more))
-        tried = tried.union(fresh)
-        rest = rest.join(heads.select("band", F.col("head").alias("id")), ["band", "id"], "left_anti").select("band", "id")
-        width *= 16
+    test = _Links(raw.where("id is not null"), usable, percent)
+    links = ties
+    first = test.of(pinned(members.where("id != a").select("a", F.col("id").alias("b")).distinct(), "pairs"))
+    if first is not None:
+        links = links.union(first)
+    parts = connected_components(links)
+    labelled = (
+        members.join(parts.withColumnRenamed("node", "id"), "id", "left")
+        .select("band", "id", F.coalesce("component", "id").alias("part"))
+    )
+    # a bucket of two is tested; a larger one is open if it has several components
+    mixed = (
+        labelled.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n"))
+        .where("lo != hi and n > 2").select("band")
+    )
+    more = test.across(pinned(labelled.join(mixed, "band", "left_semi").distinct(), "rest"))
+    if more is not None:
+        stars = parts.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+        parts = connected_components(stars.union(more))
 
     whole = (
         member_of.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
