@@ -14,6 +14,7 @@ from lakewarden.llm.neardup import near_duplicates
 from lakewarden.llm.pieces import encode_and_decode, token_digests
 from lakewarden.llm.rules import calibrate, quality_rules, with_statistics
 from lakewarden.llm.secrets import BASE_KINDS, find_secrets, span_text
+from lakewarden.llm.toxicity import is_training, toxicity_scores
 
 
 
@@ -90,6 +91,15 @@ def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(encode_and_decode(docs, piece_model())).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity_scores(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), is_training("doc_id", 3, 1))
+    return scored.select(
+        F.col("id").alias("doc_id"), F.coalesce(~is_training("id", 3, 1), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"), F.col("weight").alias("lexicon_weight"),
+    )
+
+
 @query
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select(
