@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakewarden.llm.common import documents, pinned
 from lakewarden.llm.decontam import contaminated
+from lakewarden.llm.factors import quality_scores
 from lakewarden.llm.linededup import dedup_lines
 from lakewarden.llm.neardup import near_duplicates
 from lakewarden.llm.pieces import encode_and_decode, token_digests
@@ -114,3 +115,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(stats, calibrate(stats, documents(spark, sf_dir, "labels")))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return judged.select("doc_id", *[f"rules.{c}" for c in base], "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), is_training("doc_id", 5, 0))
+    return scored.select(
+        F.col("id").alias("doc_id"), F.coalesce(~is_training("id", 5, 0), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
