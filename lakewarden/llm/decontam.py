@@ -26,14 +26,13 @@ from pyspark.sql import functions as F
 from lakewarden.llm.common import arrow_pass, ids_and_bytes, joined_columns, pinned, shingle_hashes, word_hashes
 
 HASHES = 64
-#: Items in one index; bounds what a task holds (about 1 KB an item).
+#: Items in one index; bounds what a task holds (about 2 KB an item, and 64 KB a hash and class).
 BLOCK_ITEMS = 20_000
 #: Smallest class: blocks of 8 shingles.
 FIRST_CLASS = 3
-#: Shingles hashed at once.
-_STRETCH = 1 << 13
+#: Blocks hashed at once.
+_STRETCH = 1 << 11
 _PAIRS = "doc_id bigint, item_id bigint, n_shared bigint, n_item bigint"
-_TOP = np.uint64(np.iinfo(np.uint64).max)
 
 
 def _multipliers() -> np.ndarray:
@@ -45,65 +44,79 @@ class ItemIndex:
 
     def __init__(self, ids: list[int], sets: list[np.ndarray]):
         self.ids, self.sets, self.a = ids, sets, _multipliers()
-        self.classes: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
+        self.classes: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         by_class: dict[int, list[int]] = {}
         for k, found in enumerate(sets):
             if len(found):
                 by_class.setdefault(max(FIRST_CLASS, int(len(found) - 1).bit_length()), []).append(k)
         for c, members in by_class.items():
             low = np.stack([(self.a[:, None] * sets[k][None, :]).min(axis=1) for k in members])
-            order = np.argsort(low, axis=0, kind="stable")
-            keys = np.take_along_axis(low, order, axis=0)
-            self.classes[c] = ([np.ascontiguousarray(keys[:, h]) for h in range(HASHES)], [np.array(members)[order[:, h]] for h in range(HASHES)])
-        self.last = max(self.classes, default=FIRST_CLASS)
-
-    def _blocks(self, shingles: np.ndarray) -> np.ndarray:
-        """Minima of each block of 2^FIRST_CLASS shingles: (hash, block)."""
-        size = 1 << FIRST_CLASS
-        out = []
-        for at in range(0, len(shingles), _STRETCH):
-            part = shingles[at:at + _STRETCH]
-            if len(part) % size:
-                part = np.concatenate([part, np.repeat(part[-1:], size - len(part) % size)])
-            made = np.empty((HASHES, len(part) // size), np.uint64)
+            self.classes[c] = []
             for h in range(HASHES):
-                (part * self.a[h]).reshape(-1, size).min(axis=1, out=made[h])
-            out.append(made)
-        return np.concatenate(out, axis=1)
-
-    def candidates(self, shingles: np.ndarray) -> set[int]:
-        found: set[int] = set()
-        if not len(shingles) or not self.classes:
+                order = np.argsort(low[:, h], kind="stable")
+                keys = low[order, h]
+                table = np.zeros(1 << 16, bool)
+                table[_slot(keys)] = True
+                self.classes[c].append((keys, np.array(members)[order], table))
+        self.first, self.last = min(self.classes, default=0), max(self.classes, default=0)
+
+    def candidates(self, texts: list[np.ndarray]) -> list[set[int]]:
+        """Items that share a minimum with a window of each text; all texts go side by side.
+
+        Each text is filled up to whole blocks of the largest class with its last shingle; a
+        window across two texts only adds candidates.
+        """
+        found: list[set[int]] = [set() for _ in texts]
+        if not self.classes or not any(map(len, texts)):
             return found
-        low = self._blocks(shingles)
-        for c in range(FIRST_CLASS, self.last + 1):
-            if c > FIRST_CLASS:
-                if low.shape[1] % 2:
-                    low = np.concatenate([low, low[:, -1:]], axis=1)
-                low = np.minimum(low[:, 0::2], low[:, 1::2])
-            if c in self.classes:
-                windows = np.minimum(low[:, :-1], low[:, 1:]) if low.shape[1] > 1 else low
-                keys, members = self.classes[c]
-                for h in range(HASHES):
-                    at = np.searchsorted(keys[h], windows[h])
-                    hit = np.flatnonzero(keys[h][np.minimum(at, len(keys[h]) - 1)] == windows[h])
-                    for value in np.unique(windows[h][hit]) if len(hit) else ():
-                        lo, hi = np.searchsorted(keys[h], value), np.searchsorted(keys[h], value, "right")
-                        found.update(members[h][lo:hi].tolist())
+        unit, size = 1 << self.last, 1 << self.first
+        full = [-(-len(t) // unit) * unit for t in texts]
+        row = np.empty(sum(full), np.uint64)
+        at = 0
+        for t, n in zip(texts, full):
+            row[at:at + len(t)] = t
+            row[at + len(t):at + n] = t[-1] if n else 0
+            at += n
+        blocks = np.ascontiguousarray(row.reshape(-1, size).T)
+        owner = np.repeat(np.arange(len(texts)), [n // size for n in full])
+        count = blocks.shape[1]
+        for h in range(HASHES):
+            low = np.empty(count, np.uint64)
+            for k in range(0, count, _STRETCH):
+                (blocks[:, k:k + _STRETCH] * self.a[h]).min(axis=0, out=low[k:k + _STRETCH])
+            for c in range(self.first, self.last + 1):
+                if c > self.first:
+                    low = np.minimum(low[0::2], low[1::2])
+                if c not in self.classes:
+                    continue
+                windows = low.copy()
+                np.minimum(low[:-1], low[1:], out=windows[:-1])
+                keys, members, table = self.classes[c][h]
+                spots = np.flatnonzero(table[_slot(windows)])
+                lo, hi = np.searchsorted(keys, windows[spots]), np.searchsorted(keys, windows[spots], "right")
+                step = 1 << (c - self.first)
+                for k, x, y in zip(spots[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
+                    items = members[x:y].tolist()
+                    found[owner[k * step]].update(items)
+                    found[owner[min((k + 1) * step, count - 1)]].update(items)
         return found
 
-    def search(self, body: bytes, percent: int) -> Iterator[tuple[int, int, int]]:
-        """(item, shared, size) of each item whose shingles the text has to ``percent``."""
-        shingles = shingle_hashes(word_hashes(body))
-        near = self.candidates(shingles)
-        if near:
-            whole = np.unique(shingles)
-            for k in sorted(near):
+    def search(self, bodies: list[bytes], percent: int) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, shared, size) of each item whose shingles a text has to ``percent``."""
+        texts = [shingle_hashes(word_hashes(b)) for b in bodies]
+        for n, (shingles, near) in enumerate(zip(texts, self.candidates(texts))):
+            whole = np.unique(shingles) if near else shingles
+            for k in sorted(near) if len(whole) else ():
                 item = self.sets[k]
                 at = np.minimum(np.searchsorted(whole, item), len(whole) - 1)
                 shared = int((whole[at] == item).sum())
                 if 100 * shared >= percent * len(item):
-                    yield self.ids[k], shared, len(item)
+                    yield n, self.ids[k], shared, len(item)
+
+
+def _slot(values: np.ndarray) -> np.ndarray:
+    """Sixteen bits of a minimum that are spread evenly."""
+    return ((values >> np.uint64(36)) & np.uint64(0xFFFF)).astype(np.int64)
 
 
 def _searcher(ids: list[int], sets: list[bytes], percent: int):
@@ -112,9 +125,8 @@ def _searcher(ids: list[int], sets: list[bytes], percent: int):
     def search(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not state:
             state.append(ItemIndex(ids, [np.frombuffer(s, np.uint64) for s in sets]))
-        rows = [
-            (i, *hit) for i, body in zip(batch.column(0).to_pylist(), batch.column(1)) for hit in state[0].search(body.as_py(), percent)
-        ]
+        docs = batch.column(0).to_pylist()
+        rows = [(docs[n], *hit) for n, *hit in state[0].search(batch.column(1).to_pylist(), percent)]
         cols = list(zip(*rows)) or [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "n_shared", "n_item"])
 
