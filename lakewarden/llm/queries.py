@@ -11,6 +11,7 @@ from lakewarden.llm.common import documents, pinned
 from lakewarden.llm.decontam import contaminated
 from lakewarden.llm.factors import quality_scores
 from lakewarden.llm.linededup import dedup_lines
+from lakewarden.llm.maxent import language_scores
 from lakewarden.llm.neardup import near_duplicates
 from lakewarden.llm.pieces import encode_and_decode, token_digests
 from lakewarden.llm.rules import calibrate, quality_rules, with_statistics
@@ -117,6 +118,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"rules.{c}" for c in base], "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+@query
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = language_scores(documents(spark, sf_dir), is_training("doc_id", 10, 0))
+    return scored.select(
+        F.col("id").alias("doc_id"), F.coalesce(~is_training("id", 10, 0), F.lit(False)).alias("held_out"),
+        "n_tokens", "n_known", "train_tokens", "base_score", "score",
+    )
+
+
 @query
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_scores(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), is_training("doc_id", 5, 0))
