@@ -16,6 +16,7 @@ from lakewarden.llm.neardup import near_duplicates
 from lakewarden.llm.pieces import encode_and_decode, token_digests
 from lakewarden.llm.rules import calibrate, quality_rules, with_statistics
 from lakewarden.llm.secrets import BASE_KINDS, find_secrets, span_text
+from lakewarden.llm.spans import dedup_spans
 from lakewarden.llm.toxicity import is_training, toxicity_scores
 
 
@@ -87,6 +88,14 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
 FROM judged GROUP BY doc_id"""
 
 
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_spans(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_sentences", "n_shared", "n_removed", (F.col("n_removed") > 0).alias("repeats_passage"), F.sha2("text", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
