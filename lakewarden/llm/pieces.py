@@ -330,7 +330,7 @@ def decode_ids(rows: DataFrame, model_path: str, ids_col: str = "ids", decoded:
 
 
 def token_digests(rows: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Adds n_tokens, ids_sha256 and decoded_sha256."""
+    """Adds n_tokens, ids_sha256 and decoded_sha256, in place of columns with these names."""
     return rows.withColumns({
         "n_tokens": F.size(ids).cast("bigint"),
         "ids_sha256": F.sha2(F.array_join(F.col(ids).cast("array<string>"), ","), 256),

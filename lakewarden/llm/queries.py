@@ -59,7 +59,7 @@ GROUP BY d.id, b.id HAVING 100 * count(*) >= 80 * any_value(n_item)"""
 
 @query
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(documents(spark, sf_dir))
+    found = find_secrets(documents(spark, sf_dir).select("doc_id", "text"))
     count = lambda k: F.size(F.filter("secrets", lambda m: m["kind"] == k)).cast("bigint")
     base = F.filter("secrets", lambda m: m["kind"] < len(BASE_KINDS))
     return found.select(
@@ -70,7 +70,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+    return dedup_lines(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 SQL["op3_line_dedup"] = r"""
@@ -121,7 +121,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = pinned(with_statistics(documents(spark, sf_dir)).select("doc_id", "rules"), "rules")
+    stats = pinned(with_statistics(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "rules"), "rules")
     judged = quality_rules(stats, calibrate(stats, documents(spark, sf_dir, "labels")))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return judged.select("doc_id", *[f"rules.{c}" for c in base], "kept", F.array_join("failed_rules", ",").alias("failed_rules"))

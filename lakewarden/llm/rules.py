@@ -69,9 +69,10 @@ def with_statistics(docs: DataFrame, text_col: str = "text", into: str = "rules"
 
     Words are runs without ``[\\x20\\x09-\\x0D]``. A null text counts as empty: no words, all
     counts zero, base_failed. Shares of nothing are zero. Rows with null or repeated ids are
-    judged each by its text.
+    judged each by its text. If ``docs`` has the name ``into``, it gets leading underscores.
     """
     names = list(docs.columns)
+    into = joined_columns(names, into)
     new = lambda c: joined_columns(names, f"{into}_{c}")
     text, bare, words, n, lines, rep = (new(c) for c in ("text", "bare", "words", "n", "lines", "rep"))
     df = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
@@ -175,7 +176,7 @@ def verdict(cutoffs: list, rules: str = "rules") -> Column:
 def quality_rules(stats: DataFrame, cutoffs: DataFrame, rules: str = "rules", kept: str = "kept", failed: str = "failed_rules") -> DataFrame:
     """``stats`` with the failed rules and ``kept``: neither the base rule nor a cutoff fails.
 
-    The driver sees one row for each rule and stratum, 18 at most.
+    Columns of ``stats`` named as the new ones are replaced. The driver sees one row for each rule and stratum, 18 at most.
     """
     found = verdict(cutoffs.collect(), rules)
     return stats.withColumn(failed, found).withColumn(kept, ~F.col(f"{rules}.base_failed") & (F.size(failed) == 0))

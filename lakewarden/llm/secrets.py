@@ -127,9 +127,10 @@ def find_secrets(docs: DataFrame, text_col: str = "text", into: str = "secrets",
 
     Places count code points, ends are exclusive; ``kind`` numbers ``KINDS``, ``name`` names it. A null
     or empty text has no spans. Every row is judged by its own text, so null or repeated ids
-    do not matter. ``allow`` adds patterns to the allow-list; fixed kinds are never suppressed.
+    do not matter. A taken name ``into`` gets leading underscores. ``allow`` adds patterns to the allow-list; fixed kinds are never suppressed.
     """
     names = list(docs.columns)
+    into = joined_columns(names, into)
     new = lambda c: joined_columns(names, f"{into}_{c}")
     text, long, assign, access, hexes, runs, hot = (new(c) for c in ("text", "long", "assign", "access", "hex", "runs", "hot"))
     df = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
