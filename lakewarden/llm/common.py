@@ -118,6 +118,14 @@ def shingle_hashes(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return acc
 
 
+def anchored(column: Column) -> Column:
+    """The same values, from an expression that filters on the result are not pushed through.
+
+    A filter that is rewritten with a long chain of array expressions repeats them at every level.
+    """
+    return F.when(F.spark_partition_id() >= 0, column)
+
+
 def flat_lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     """A list column from one numpy array per row."""
     offsets = np.zeros(len(rows) + 1, np.int32)

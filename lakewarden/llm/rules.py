@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import joined_columns
+from lakewarden.llm.common import anchored, joined_columns
 
 #: False rejections allowed to each rule in each stratum, and the risk of any exception.
 ALPHA, DELTA = 0.01, 0.1
@@ -83,11 +83,11 @@ def with_statistics(docs: DataFrame, text_col: str = "text", into: str = "rules"
     df = _repeat_words(df, words, n, rep)
     hits = lambda pattern: (F.size(F.split(text, pattern, -1)) - 1).cast("bigint")
     base = new("base")
-    df = df.withColumn(base, F.struct(
+    df = df.withColumn(base, anchored(F.struct(
         F.col(n).cast("bigint").alias("n_words"), F.length(F.array_join(words, "")).cast("bigint").alias("word_chars"),
         hits(r"[#*$%&|<>]").alias("n_symbols"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
         F.col(rep).alias("n_repeat_words"), F.size(lines).alias("n_lines"), hits("[A-Z]").alias("n_upper"), hits("!").alias("n_exclamations"),
-    ))
+    )))
     b = lambda c: F.col(f"{base}.{c}")
     share = lambda a, c: F.coalesce(b(a) / F.nullif(b(c), F.lit(0)), F.lit(0.0))
     statistics = F.struct(

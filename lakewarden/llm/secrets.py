@@ -18,7 +18,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import joined_columns
+from lakewarden.llm.common import anchored, joined_columns
 
 BASE_KINDS = ["assign", "access", "hex"]
 #: Entropy kinds: bits a window must reach, and the pattern of the class, tried in order.
@@ -159,7 +159,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", into: str = "secrets",
     ))
     label = F.array(*map(F.lit, KINDS))
     spans = F.transform(spans, lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"), F.get(label, m["kind"]).alias("name")))
-    return df.withColumn(into, spans).select(*names, into)
+    return df.withColumn(into, anchored(spans)).select(*names, into)
 
 
 def span_text(spans: Column) -> Column:
