@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lakewarden.llm.common import arrow_pass, joined_columns
 
 SPACE = "▁"
-#: Chunks whose ids a worker keeps (about 200 bytes each).
+#: Chunks whose ids a worker keeps between batches (about 200 bytes each).
 CACHE_CHUNKS = 500_000
 #: Characters of a text, and chunks of several, that are taken at once.
 TEXT_CHARS, HELD_CHUNKS = 1 << 20, 500_000
@@ -162,9 +162,6 @@ class PieceCoder:
     def learn(self, chunks: set[str]) -> None:
         """Put the ids of chunks into the table; a last mark that no piece joins is cut off."""
         known = self.known
-        if len(known) + len(chunks) > CACHE_CHUNKS:
-            known.clear()
-            known["\n"], known[""] = self.line_break, b""
         cut = {c for c in chunks if len(c) > 2 and c[-2:] not in self.inside}
         plain = {c for c in chunks if c not in cut} | {x for c in cut for x in (c[:-1], c[-1])}
         by_length: dict[int, list[str]] = {}
@@ -225,12 +222,13 @@ class PieceCoder:
         count = 0
 
         def settle():
-            missing = set().union(*(c for _, c in held)).difference(self.known)
+            needed = set().union(*(c for _, c in held))
+            missing = needed.difference(self.known)
+            if len(self.known) + len(missing) > CACHE_CHUNKS:
+                self.known = {"\n": self.line_break, "": b""}
+                missing = needed.difference(self.known)
             if missing:
-                before = len(self.known)
                 self.learn(missing)
-                if len(self.known) < before:  # the table was cleared: the others are missing too
-                    self.learn(set().union(*(c for _, c in held)).difference(self.known))
             for k, chunks in held:
                 out[k].append(b"".join(map(self.known.__getitem__, chunks)))
             held.clear()
@@ -318,12 +316,12 @@ def decode_ids(rows: DataFrame, model_path: str, ids_col: str = "ids", decoded:
     with open(model_path, "rb") as f:
         model = f.read()
     name = joined_columns(rows.columns, decoded)
-    at = rows.columns.index(ids_col)
+    at, names = rows.columns.index(ids_col), [*rows.columns, name]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = coder(model)
         texts = [None if x.as_py() is None else c.decode(x.as_py()) for x in batch.column(at)]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*rows.columns, name])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + f", `{name}` string"
     return arrow_pass(rows, run, schema)

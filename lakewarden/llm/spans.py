@@ -135,12 +135,12 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     drops = pinned(drops.withColumnsRenamed({"id": key, "whole": whole}), "span-places")
     marked = docs.withColumn(mark, _mark(text_col))
     joined = marked.join(drops, (marked[id_col].cast("bigint") == drops[key]) & (marked[mark] == drops[whole]), "left")
-    body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body")
+    body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias(joined_columns(names, "span_body"))
     others = [c for c in names if c != text_col]
     counts = [joined_columns(names, c) for c in ("n_sentences", "n_shared", "n_removed")]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in others], f"`{text_col}` string", *[f"`{c}` bigint" for c in counts]])
-    out = arrow_pass(joined.select(body, F.col(places).alias("places"), *others), _named(_rewrite, [*others, text_col, *counts]), schema)
+    out = arrow_pass(joined.select(body, places, *others), _named(_rewrite, [*others, text_col, *counts]), schema)
     return out.select(*names, *counts)
 
 
