@@ -20,8 +20,12 @@ def lookup(c: Column, table: Mapping[str, object], default: object) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*entries), F.coalesce(c, F.lit(""))), F.lit(default))
 
 
+#: Shares of the model's and the rules' score in the blend.
+MODEL_WEIGHT, RULES_WEIGHT = 0.70, 0.30
+
+
 def blend_ai_risk(
-    model: Column, rules: Column, model_weight: float = 0.70, rules_weight: float = 0.30
+    model: Column, rules: Column, model_weight: float = MODEL_WEIGHT, rules_weight: float = RULES_WEIGHT
 ) -> Column:
     """0-100 risk: weighted blend that never falls below the rules score."""
     m, r = clamp(model), clamp(rules)

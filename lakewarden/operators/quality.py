@@ -23,6 +23,7 @@ class Rule:
         return F.coalesce(F.expr(self.check), F.lit(False))
 
 
+# Rule names, predicates and which of them drop rows.
 RULES: Mapping[str, tuple[Rule, ...]] = {
     "customers": (Rule("valid_customer_id", "customer_id IS NOT NULL"),),
     "accounts": (Rule("valid_account_id", "account_id IS NOT NULL"),),

@@ -95,7 +95,15 @@ def build_cases(
 def fold_cases(
     cases: DataFrame, hits: DataFrame, anomalies: DataFrame, customers: DataFrame, as_of
 ) -> DataFrame:
-    """Replace the screening and anomaly families of a case table by fresh ones."""
+    """Replace the screening and anomaly families of a case table by fresh ones.
+
+    Numbers of the families start at 90,000 and 95,000, or after the numbers before
+    them where those are higher, so that no number is given twice.
+    """
+    families = F.col("scenario").isin(SANCTIONS_SCENARIO, ANOMALY_SCENARIO)
+    used = F.coalesce(cases.filter(~families).agg(F.max("alert_num")).scalar(), F.lit(0))
+    first_hit = F.greatest(F.lit(90000), used)
+    first_odd = F.greatest(F.lit(95000), first_hit + hits.agg(F.count("*")).scalar())
     sw, fr = dict(TEAMS)["TEAM_SW"], dict(TEAMS)["TEAM_FR"]
     people = dict(ANALYSTS)
     common = {
@@ -108,7 +116,7 @@ def fold_cases(
     screened = _as_cases(
         numbered,
         case_id=F.concat(F.lit("CASE-SCR-"), F.col("n").cast("string")),
-        alert_num=F.col("n") + 90000,
+        alert_num=F.col("n") + first_hit,
         customer_id=F.coalesce("_cust", "source_id"),
         customer_name=F.col("entity_name"),
         scenario=F.lit(SANCTIONS_SCENARIO),
@@ -124,7 +132,7 @@ def fold_cases(
     odd = _as_cases(
         row_index(anomalies, ["customer_id"], "n"),
         case_id=F.concat(F.lit("CASE-ANO-"), F.col("n").cast("string")),
-        alert_num=F.col("n") + 95000,
+        alert_num=F.col("n") + first_odd,
         customer_id=F.col("customer_id"),
         customer_name=F.col("full_name"),
         scenario=F.lit(ANOMALY_SCENARIO),
@@ -137,7 +145,6 @@ def fold_cases(
         due_date=F.date_add(clock.day(as_of), 5),
         **common,
     )
-    families = F.col("scenario").isin(SANCTIONS_SCENARIO, ANOMALY_SCENARIO)
     return replace_slice(cases, families, screened.unionByName(odd))
 
 

@@ -19,9 +19,6 @@ from lakewarden.operators.rings import best_rings
 from lakewarden.operators.skew import carry_last, previous
 from lakewarden.schemas import ALERT
 
-# An alert row carries its transaction ids up to this many; beyond it the column
-# is NULL and the ids are rows of ``alert_transactions``, which has no bound.
-MAX_INLINE_IDS = 10_000
 
 def _no_ids() -> Column:
     return F.array().cast("array<string>")
@@ -72,11 +69,10 @@ def _alerts(
     return df.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in ALERT])
 
 
-def _with_ids(flagged: DataFrame, events: DataFrame, count: str) -> DataFrame:
-    """Add the sorted ``txn_ids`` of accounts whose id list fits a row."""
-    fits = flagged.filter(F.col(count) <= MAX_INLINE_IDS).select("account_id")
+def _with_ids(flagged: DataFrame, events: DataFrame) -> DataFrame:
+    """Add the sorted ``txn_ids`` of flagged accounts, whatever their number."""
     ids = (
-        events.join(fits, "account_id", "left_semi")
+        events.join(flagged.select("account_id"), "account_id", "left_semi")
         .groupBy("account_id")
         .agg(F.sort_array(F.collect_set("transaction_id")).alias("txn_ids"))
     )
@@ -123,7 +119,7 @@ def detect_rapid_movement(
         )
         .join(accounts.select("account_id", "customer_id"), "account_id")
     )
-    df = attach_entity(_with_ids(flagged, events, "n_txns"), None, emap)
+    df = attach_entity(_with_ids(flagged, events), None, emap)
     return _alerts(
         df,
         alert_id=F.concat(F.lit("ALRT-RM-"), "account_id"),
@@ -262,7 +258,7 @@ def detect_dormant(
         )
         .join(idle, "account_id")
     )
-    df = attach_entity(_with_ids(flagged, events, "n_txns"), None, emap)
+    df = attach_entity(_with_ids(flagged, events), None, emap)
     return _alerts(
         df,
         alert_id=F.concat(F.lit("ALRT-DORM-"), "account_id"),
@@ -523,7 +519,7 @@ def detect_structuring(txns, accounts, emap, cfg=AlertConfig(), as_of=None) -> D
         .filter(n >= cfg.struct_min_count)
         .join(accounts.select("account_id", "customer_id"), "account_id")
     )
-    df = attach_entity(_with_ids(flagged, events, "near_deposits"), None, emap)
+    df = attach_entity(_with_ids(flagged, events), None, emap)
     total = clock.whole(F.col("total_cash_in"))
     return _alerts(
         df,

@@ -144,7 +144,9 @@ def graph_rels(seeds, accounts, txns, third_parties, k: int = 12) -> DataFrame:
     mine = accounts.join(seeds.select("customer_id"), "customer_id", "left_semi").select(
         "customer_id", "account_id"
     )
-    rows = mine.join(txns.select("account_id", "counterparty_id"), "account_id", "left")
+    # the ledger is cut to k rows per account first, so that a busy account is never joined whole
+    firsts = top_k(txns.select("account_id", "counterparty_id"), ["account_id"], [F.col("counterparty_id")], k)
+    rows = mine.join(firsts, "account_id", "left")
     capped = top_k(rows, ["customer_id"], [F.col("account_id"), F.col("counterparty_id")], k)
     names = third_parties.select(
         F.col("third_party_id").alias("counterparty_id"), F.col("full_name").alias("cp_name")
@@ -161,9 +163,12 @@ def travel_legs(alerts: DataFrame, cards: DataFrame, policy=SkewPolicy()) -> Dat
     and second.
     """
     wanted = alerts.filter(F.col("alert_type") == "impossible_travel").select(
-        "alert_id", F.col("account_ids")[0].alias("account_id"),
+        "alert_id", F.get("account_ids", F.lit(0)).alias("account_id"),
         F.date_trunc("SECOND", "triggered_at").alias("_second"),
     )
+    # only cards with a tap on an alerted account can have a pair there
+    used = cards.join(wanted.select("account_id").distinct(), "account_id", "left_semi").select("card_id").distinct()
+    cards = cards.join(used, "card_id", "left_semi")
     pairs = tap_pairs(cards, policy).filter(F.col("prev_txn_ts").isNotNull()).withColumn(
         "_second", F.date_trunc("SECOND", "txn_ts")
     )

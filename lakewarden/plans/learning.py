@@ -13,7 +13,7 @@ from lakewarden.config import (
     DRIFT_FEATURES, LABEL_SEVERITY, MODEL_CATEGORICAL, MODEL_NUMERIC, OTHER_SEVERITY,
     PLANTED_PREFIXES, SURROGATE_SEVERITY,
 )
-from lakewarden.functions.scoring import blend_ai_risk, clamp, lookup
+from lakewarden.functions.scoring import MODEL_WEIGHT, RULES_WEIGHT, blend_ai_risk, clamp, lookup
 from lakewarden.operators.ranking import row_index, running_totals
 
 
@@ -203,8 +203,8 @@ def model_metrics(
         F.lit(len(MODEL_NUMERIC) + len(MODEL_CATEGORICAL)).alias("n_features"),
         F.col("n_labelled").cast("int").alias("n_labelled"),
         F.round(F.col("positives") / F.col("n_labelled"), 4).alias("positive_rate"),
-        F.lit(0.60).alias("blend_model_weight"),
-        F.lit(0.40).alias("blend_rules_weight"),
+        F.lit(MODEL_WEIGHT).alias("blend_model_weight"),
+        F.lit(RULES_WEIGHT).alias("blend_rules_weight"),
         F.lit("validated").alias("governance_status"),
     )
 

@@ -181,12 +181,16 @@ class Lake:
     def labels(self) -> DataFrame:
         return learning.sar_labels(self.features, self.noise())
 
+    def case_number(self):
+        """All digits of a case id."""
+        return F.substring("case_id", len("CASE-") + 1, 20).cast("bigint")
+
     def noise(self):
         """Arithmetic label noise, so that another engine can recompute it."""
-        return F.right("case_id", F.lit(8)).cast("bigint") * 7919 % 1000 / 1000.0
+        return self.case_number() * 7919 % 1000 / 1000.0
 
     def case_bucket(self):
-        return F.right("case_id", F.lit(8)).cast("bigint") % 10
+        return self.case_number() % 10
 
     def scores(self) -> DataFrame:
         return learning.surrogate_scores(self.features)

@@ -220,6 +220,7 @@ def _risk_points() -> Column:
     return F.least(F.lit(100).cast("long"), total.cast("long"))
 
 
+# The driver phrases below.
 def _risk_drivers() -> Column:
     counted = [("severe_alerts", " severe alerts"), ("media_hits", " adverse-media hits")]
     severe, media = (

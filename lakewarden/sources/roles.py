@@ -38,9 +38,9 @@ def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tag(prefix: str, c: str | Column) -> Column:
-    """Zero-padded string id."""
-    value = F.col(c) if isinstance(c, str) else c
-    return F.concat(F.lit(prefix), F.lpad(value.cast("string"), 8, "0"))
+    """String id, zero-padded to eight digits; longer keys keep all of theirs."""
+    digits = (F.col(c) if isinstance(c, str) else c).cast("string")
+    return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.lit(8), F.length(digits)), F.lit("0")))
 
 
 def _pick(c: Column, values: list[str]) -> Column:

@@ -119,14 +119,17 @@ def run_incremental(
 
 
 def current_alerts(spark: SparkSession, root: str) -> DataFrame:
-    """Alerts as of the last run: per account only those of its latest batch."""
+    """Alerts as of the last run: per account only those of its latest batch.
+
+    An alert belongs to its first account; one without accounts is not followed here.
+    """
     alerts = _read(spark, root, "alerts", with_batch_id(ALERT))
     latest = (
         _read(spark, root, "touched", "account_id string, batch_id bigint")
         .groupBy("account_id")
         .agg(F.max("batch_id").alias("batch_id"))
     )
-    owner = F.col("account_ids")[0].alias("account_id")
+    owner = F.get("account_ids", F.lit(0)).alias("account_id")
     return (
         alerts.select("*", owner)
         .join(latest, ["account_id", "batch_id"], "left_semi")

@@ -143,7 +143,8 @@ SELECT account_id, {ts('ws')} AS window_start, round(i, 2) AS inflow, round(o, 2
   SELECT account_id, ws, sum(CASE WHEN direction = 'credit' THEN amount END) AS i, sum(CASE WHEN direction = 'debit' THEN amount END) AS o,
     min(CASE WHEN direction = 'credit' THEN txn_ts END) AS fc, max(CASE WHEN direction = 'debit' THEN txn_ts END) AS ld
   FROM (SELECT *, date_trunc('day', txn_ts) - to_days(CAST(k AS INTEGER)) AS ws FROM event_ledger, range(0, 3) r(k)) GROUP BY 1, 2)
-WHERE i >= 20 AND o >= i * CAST(0.9 AS DOUBLE) AND fc <= ld""")
+WHERE i >= 20 AND o >= i * CAST(0.9 AS DOUBLE) AND fc <= ld
+  AND ws + INTERVAL 3 DAY <= (SELECT max(txn_ts) FROM event_ledger) - INTERVAL 2 HOUR""")
 def _(lake):
     landing, out = scratch_path(lake.spark, "landing"), scratch_path(lake.spark, "windows")
     _drop(lake.roles.event_ledger(), landing)
@@ -155,11 +156,11 @@ def _(lake):
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    (found.writeStream.foreachBatch(save).outputMode("complete")
+    # append: a window leaves the state when the watermark passes its end
+    (found.writeStream.foreachBatch(save).outputMode("append")
      .option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination())
     saved = lake.spark.read.schema(with_batch_id(found.schema)).parquet(out)
-    last = saved.agg(F.max("batch_id").alias("batch_id"))
-    return saved.join(last, "batch_id", "left_semi").select(
+    return saved.select(
         "account_id", tstr("window_start").alias("window_start"), F.round("inflow", 2).alias("inflow"),
         F.round("outflow", 2).alias("outflow"),
     )

@@ -37,17 +37,26 @@ def test_rapid_movement(ledger, accounts, emap):
     assert got["A1"]["transaction_ids"] == ["T0000", "T0001"]
 
 
-def test_transaction_ids_beyond_the_inline_bound(ledger, accounts, emap, monkeypatch):
-    monkeypatch.setattr(d, "MAX_INLINE_IDS", 1)
-    txns = ledger([
-        ("A1", "credit", 4_000_000, "2024-01-01 18:00:00"),
-        ("A1", "debit", 3_850_000, "2024-01-01 22:00:00"),
-    ])
-    alerts = d.detect_rapid_movement(txns, accounts, emap, CFG, AS_OF)
-    row = alerts.first()
-    assert row["transaction_ids"] is None and row["evidence"]["transaction_count"] == "2"
-    links = d.alert_transactions(alerts, d.rapid_events(txns, AS_OF)).collect()
-    assert sorted(r["transaction_id"] for r in links) == ["T0000", "T0001"]
+def test_an_alert_keeps_all_of_its_transactions(spark, ledger, accounts, emap):
+    many = ledger([("A1", "credit", 4_000_000, "2024-01-01 18:00:00")]).drop("transaction_id").crossJoin(
+        spark.range(20_000).selectExpr("concat('C', id) as transaction_id")
+    )
+    out = ledger([("A1", "debit", 90_000_000_000, "2024-01-01 22:00:00")])
+    alerts = d.detect_rapid_movement(many.unionByName(out), accounts, emap, CFG, AS_OF)
+    assert len(alerts.first()["transaction_ids"]) == 20_001
+    assert d.alert_transactions(alerts, d.rapid_events(many.unionByName(out), AS_OF)).count() == 20_001
+
+
+def test_long_keys_keep_all_digits(spark):
+    from lakewarden.sources.roles import tag
+    from lakewarden.suite.parts import tag as sql_tag
+
+    import duckdb
+
+    keys = [7, 123456780, 123456781, 10**9 + 1, 10**12 + 7]
+    ids = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k bigint").select(tag("CASE-", "k")).collect()]
+    assert len(set(ids)) == len(keys) and ids[0] == "CASE-00000007" and ids[3] == "CASE-1000000001"
+    assert [duckdb.sql(f"SELECT {sql_tag('CASE-', str(k))}").fetchone()[0] for k in keys] == ids
 
 
 def test_frequency_change(ledger, accounts, emap):
