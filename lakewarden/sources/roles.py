@@ -311,8 +311,8 @@ class Roles:
         )
 
     def eval_inputs(self) -> DataFrame:
-        """Labelled documents as generated narratives with two judge scores."""
-        return self.table("documents").join(self.table("labels"), "doc_id").select(
+        """All documents as generated narratives with two judge scores; unlabelled ones score low."""
+        return self.table("documents").join(self.table("labels"), "doc_id", "left").select(
             tag("EVAL", "doc_id").alias("eval_id"),
             "text",
             F.least(F.lit(1.0), F.col("n_chars") / 2000.0).alias("groundedness"),

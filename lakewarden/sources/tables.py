@@ -24,6 +24,11 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def land_documents(docs: DataFrame, path: str, key: str, text: str) -> None:
+    """Write each row's text as a text file of its own, in a folder ``key=value``."""
+    docs.select(F.col(key), F.col(text).alias("value")).write.partitionBy(key).text(path)
+
+
 def values_df(spark: SparkSession, rows: Iterable[tuple], schema: T.StructType | str) -> DataFrame:
     """Small inline relation."""
     return spark.createDataFrame(list(rows), schema)

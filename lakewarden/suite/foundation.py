@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.config import SkewPolicy
+from lakewarden.config import AlertConfig, SkewPolicy
 from lakewarden.functions import clock
 from lakewarden.operators import entities as er
 from lakewarden.operators.conform import conform_cards, conform_passthrough, conform_transactions
-from lakewarden.operators.quality import Rule, dq_report, enforce
+from lakewarden.operators.quality import RULES, Rule, dq_report, enforce
 from lakewarden.operators.rings import best_rings
 from lakewarden.operators.screening import screen_names, screening_list, screening_summary
 from lakewarden.plans import detectors
@@ -57,6 +59,31 @@ def _(lake):
     )
 
 
+@query("landed_documents", """
+SELECT doc_id, md5(coalesce(text, '') || chr(10)) AS content_md5 FROM documents""")
+def _(lake):
+    """Every document becomes a text file and is read back whole."""
+    path = scratch_path(lake.spark, "landed")
+    tables.land_documents(lake.roles.table("documents"), path, "doc_id", "text")
+    found = tables.read_documents(lake.spark, f"{path}/*")
+    return found.select(
+        F.regexp_extract("file_path", "doc_id=([0-9]+)", 1).cast("bigint").alias("doc_id"),
+        F.md5("doc_text").alias("content_md5"),
+    )
+
+
+@query("alert_config_relation", """
+SELECT account_id, count(*) AS near_limit, round(sum(amount), 2) AS total FROM ledger
+WHERE direction = 'credit' AND amount >= 25000 * 0.75 AND amount < 25000 GROUP BY 1""")
+def _(lake):
+    """Thresholds tuned in SQL: the one-row relation meets the ledger on its limits."""
+    cfg = F.broadcast(AlertConfig().to_df(lake.spark).select("ctr_threshold", "struct_min_ratio"))
+    near = (F.col("amount") >= F.col("ctr_threshold") * F.col("struct_min_ratio")) & (F.col("amount") < F.col("ctr_threshold"))
+    return lake.ledger.filter(F.col("direction") == "credit").join(cfg, near).groupBy("account_id").agg(
+        F.count("*").alias("near_limit"), F.round(F.sum("amount"), 2).alias("total")
+    )
+
+
 @query("calendar_range", f"""
 SELECT CAST(c.d AS VARCHAR) AS day, coalesce(l.n, 0) AS txns
 FROM (SELECT {D0} - CAST(i AS INTEGER) AS d FROM range(0, 400) r(i)) c
@@ -170,6 +197,27 @@ def _(lake):
     )
 
 
+_DECLARED = {
+    "customers": "cust", "accounts": "acct", "third_parties": "tparty", "transactions": "ledger", "card_transactions": "cards",
+    "risk_ratings": "ratings", "beneficial_ownership": "ownership", "auth_events": "auth", "adverse_media": "media",
+    "entities": "entities", "entity_map": "emap", "alerts": "alerts",
+}
+
+
+@query("quality_report_declared", " UNION ALL ".join(
+    _dq_sql(dataset, _DECLARED[dataset], {r.name: r.check for r in rules}) for dataset, rules in RULES.items()
+))
+def _(lake):
+    """The declared rules over all twelve tables."""
+    r = lake.roles
+    frames = {
+        "customers": r.customers(), "accounts": r.accounts(), "third_parties": r.third_parties(), "transactions": lake.ledger,
+        "card_transactions": r.cards(), "risk_ratings": r.risk_ratings(), "beneficial_ownership": r.ownership(),
+        "auth_events": r.auth_events(), "adverse_media": r.media(), "entities": lake.entities, "entity_map": lake.emap, "alerts": lake.alerts,
+    }
+    return reduce(lambda a, b: a.unionByName(b), (dq_report(frames[d], d) for d in RULES))
+
+
 @query("quality_drop_rows", """
 SELECT direction, count(*) AS txns FROM ledger WHERE amount >= 1000 AND counterparty_id IS NOT NULL GROUP BY 1""")
 def _(lake):
