@@ -56,7 +56,7 @@ def test_long_keys_keep_all_digits(spark):
     keys = [7, 123456780, 123456781, 10**9 + 1, 10**12 + 7]
     ids = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k bigint").select(tag("CASE-", "k")).collect()]
     assert len(set(ids)) == len(keys) and ids[0] == "CASE-00000007" and ids[3] == "CASE-1000000001"
-    assert [duckdb.sql(f"SELECT {sql_tag('CASE-', str(k))}").fetchone()[0] for k in keys] == ids
+    assert [duckdb.sql(f"SELECT {sql_tag('CASE-', str(k))}").fetchall()[0][0] for k in keys] == ids
 
 
 def test_frequency_change(ledger, accounts, emap):
