@@ -77,12 +77,11 @@ class Roles:
         )
 
     def event_ledger(self) -> DataFrame:
-        """Second ledger on the events clock: purchases are debits, clicks credits."""
-        kind = F.col("event_type")
-        return self.table("events").filter(kind.isin("purchase", "click")).select(
+        """Second ledger on the events clock: purchases and errors are debits, all others credits."""
+        return self.table("events").select(
             tag("EV", "event_id").alias("transaction_id"),
             tag("ACC", "user_id").alias("account_id"),
-            F.when(kind == "purchase", "debit").otherwise("credit").alias("direction"),
+            F.when(F.col("event_type").isin("purchase", "error"), "debit").otherwise("credit").alias("direction"),
             F.col("value").alias("amount"),
             F.col("ts").alias("txn_ts"),
         )

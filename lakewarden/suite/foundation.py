@@ -172,6 +172,25 @@ def _(lake):
     return df.withColumn("effective_from", tstr("effective_from"))
 
 
+@query("conform_passthrough_ratings", f"SELECT entity_id, risk_rating, {ts('rated_at')} AS rated_at FROM ratings")
+def _(lake):
+    df = conform_passthrough(lake.roles.risk_ratings(), ["entity_id", "risk_rating", "rated_at"])
+    return df.withColumn("rated_at", tstr("rated_at"))
+
+
+@query("conform_passthrough_logins", f"""
+SELECT event_id, account_id, {ts('event_ts')} AS event_ts, new_device, new_geo, geo_city FROM auth""")
+def _(lake):
+    df = conform_passthrough(lake.roles.auth_events(), ["event_id", "account_id", "event_ts", "new_device", "new_geo", "geo_city"])
+    return df.withColumn("event_ts", tstr("event_ts"))
+
+
+@query("conform_passthrough_media", f"SELECT article_id, headline, source, {ts('published_at')} AS published_at FROM media")
+def _(lake):
+    df = conform_passthrough(lake.roles.media(), ["article_id", "headline", "source", "published_at"])
+    return df.withColumn("published_at", tstr("published_at"))
+
+
 def _dq_sql(dataset: str, table: str, rules: dict[str, str]) -> str:
     return "\nUNION ALL ".join(
         f"""SELECT '{dataset}' AS dataset, '{r}' AS rule, count(*) AS total_rows,

@@ -65,6 +65,14 @@ def _(lake):
     )
 
 
+@query("customer_pack_media", f"""
+SELECT x.customer_id, m.headline, m.source, {ts('m.published_at')} AS published_at
+FROM c360 x JOIN media_evidence m ON m.entity_id = x.entity_id""")
+def _(lake):
+    pack = risk.customer_pack(lake.c360, lake.alerts, lake.media_evidence())
+    return pack["adverse_media"].withColumn("published_at", tstr("published_at")).select("customer_id", "headline", "source", "published_at")
+
+
 _PKYC = ["customer_id", "entity_id", "alert_count", "severe_alerts", "sanction_hits", "media_hits",
          "has_dormant", "dynamic_risk", "risk_band", "edd_review_required"]
 
@@ -318,13 +326,12 @@ def _(lake):
 
 
 @query("alert_history", """
-SELECT e.alert_id, e.status, coalesce(h.n, 0) AS entries, h.trail FROM (SELECT * FROM effective WHERE alert_type = 'ubo_change') e
+SELECT e.alert_id, e.status, coalesce(h.n, 0) AS entries, h.trail FROM effective e
 LEFT JOIN (SELECT alert_id, count(*) AS n, string_agg(status, ',' ORDER BY created_at DESC, feedback_id DESC) AS trail FROM (
   SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY created_at DESC, feedback_id DESC) AS rn FROM feedback)
   WHERE rn <= 5 GROUP BY 1) h USING (alert_id)""")
 def _(lake):
-    ubo = lake.alerts.filter(F.col("alert_type") == "ubo_change")
-    df = aq.alert_history(ubo, lake.roles.feedback())
+    df = aq.alert_history(lake.alerts, lake.roles.feedback())
     trail = F.array_join(F.transform("feedback_history", lambda f: f["status"]), ",")
     return df.select(
         "alert_id", "status",
