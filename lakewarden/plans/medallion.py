@@ -93,7 +93,7 @@ class Lake:
         return detectors.detect_risk_rating_change(self.roles.risk_ratings(), self.emap, LEDGER_CFG)
 
     def adverse_media(self) -> DataFrame:
-        return detectors.detect_adverse_media(self.roles.media_parties(), self.roles.media())
+        return detectors.detect_adverse_media(self.roles.media_parties(self.emap), self.roles.media())
 
     def ubo_change(self) -> DataFrame:
         return detectors.detect_ubo_change(self.roles.ownership(), self.emap)
@@ -140,7 +140,7 @@ class Lake:
         return self._saved("hits", lambda: screen_names(self.entities, self.watchlist()))
 
     def media_evidence(self) -> DataFrame:
-        return detectors.media_matches(self.roles.media_parties(), self.roles.media())
+        return detectors.media_matches(self.roles.media_parties(self.emap), self.roles.media())
 
     @cached_property
     def c360(self) -> DataFrame:

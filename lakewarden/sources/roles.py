@@ -197,12 +197,17 @@ class Roles:
             F.filter(words, lambda w: w != "").alias("named_entities"),
         )
 
-    def media_parties(self) -> DataFrame:
-        """Parties named like the first word of each benchmark text."""
-        return self.table("benchmark").select(
-            tag("PUB", "item_id").alias("entity_id"),
-            tag("TP", "item_id").alias("source_id"),
-            F.lit("third_party").alias("party_type"),
+    def media_parties(self, emap: DataFrame) -> DataFrame:
+        """Parties named like the first word of each benchmark text; odd items are resolved customers."""
+        customers = emap.filter(F.col("party_type") == "customer").select(
+            F.col("source_id").alias("_customer"), F.col("entity_id").alias("_entity")
+        )
+        items = self.table("benchmark").withColumn("_is_customer", F.col("item_id") % 2 == 1)
+        resolved = items.join(customers, F.col("_is_customer") & (tag("CUST", F.col("item_id") + 1) == F.col("_customer")), "left")
+        return resolved.select(
+            F.coalesce("_entity", tag("PUB", "item_id")).alias("entity_id"),
+            F.coalesce("_customer", tag("TP", "item_id")).alias("source_id"),
+            F.when(F.col("_customer").isNotNull(), "customer").otherwise("third_party").alias("party_type"),
             F.element_at(F.split(F.lower("text"), r"[^\p{L}]+"), 1).alias("full_name"),
         )
 
