@@ -20,7 +20,7 @@ from lakewarden.operators.screening import screen_names
 from lakewarden.plans import cases, detectors, learning, risk
 from lakewarden.session import configure, scratch_path
 from lakewarden.sources.roles import AS_OF_EVENTS, AS_OF_LEDGER, Roles
-from lakewarden.sources.tables import values_df, watchlist
+from lakewarden.sources.tables import values_df, watchlist, write_overwrite
 from lakewarden.schemas import WATCHLIST
 
 # Thresholds that fit the amounts and dates of the bundled test tables.
@@ -181,6 +181,15 @@ class Lake:
     def labels(self) -> DataFrame:
         return learning.sar_labels(self.features, self.noise())
 
+    @cached_property
+    def trained_scores(self) -> DataFrame:
+        """The score table: a model fitted on the training split overwrites it with every case."""
+        train, _held_out = learning.split_labelled(self.features, self.labels())
+        scores = learning.score_cases(learning.train_sar_model(train), self.features)
+        path = scratch_path(self.spark, "case_scores")
+        write_overwrite(scores, path)
+        return self.spark.read.schema(scores.schema).parquet(path)
+
     def case_number(self):
         """All digits of a case id."""
         return F.substring("case_id", len("CASE-") + 1, 20).cast("bigint")
