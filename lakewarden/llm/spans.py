@@ -89,7 +89,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows.groupBy("h1", "h2").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
         .where("lo != hi").select("h1", "h2", F.col("lo.id").alias("o_id"), F.col("lo.first").alias("o_first"))
     )
-    met = rows.join(shared, ["h1", "h2"])
+    # written first, so that the join has two plain shuffles and a hot span can be split
+    met = rows.join(pinned(shared, "shared-spans"), ["h1", "h2"])
     return met.select("id", "whole", ((F.col("id") != F.col("o_id")) | (F.col("first") != F.col("o_first"))).alias("later"), "first", "n")
 
 
