@@ -3,11 +3,12 @@
 1. Every text gives its set of five-word shingles (64-bit hashes), a fingerprint of the
    set and 125 minima of multiply-shift hashes. Documents with one fingerprint have one
    set; only the smallest id of each fingerprint goes on.
-2. Minima are banded, 25 bands of 5. At similarity 0.85 a pair shares no band with
-   probability 8e-7. In each bucket the smallest member is the centre; the others are
-   candidates with it alone, so a bucket of n members gives n - 1 pairs.
-3. A candidate pair goes on if its signatures agree in at least ``SURE`` of the minima
-   (0.85 minus six standard deviations); its full sets then decide, in integers.
+2. Minima are banded: 25 bands of 5 for links at 0.85 or more, 31 bands of 4 for links from
+   0.80. At its bound a pair shares no band with probability 8e-7 or 8e-8. In each bucket
+   the smallest member is the centre; the others are candidates with it alone, so a bucket
+   of n members gives n - 1 pairs.
+3. A candidate pair goes on if its signatures agree in at least ``sure`` of the minima
+   (the bound minus six standard deviations); its full sets then decide, in integers.
 4. Links become components by large-star and small-star steps.
 5. A bucket whose members are in one component is done. In the others every pair of
    members of different components is compared in blocks of bounded size, exactly, and
@@ -28,11 +29,11 @@ from pyspark.sql import functions as F
 from lakewarden.llm.common import arrow_pass, flat_lists, ids_and_bytes, joined_columns, pinned, shingle_hashes, word_hashes
 from lakewarden.llm.components import connected_components
 
-BANDS, ROWS = 25, 5
-#: Links need 100 * intersection >= PERCENT * union.
+MINIMA = 125
+#: Links need 100 * intersection >= PERCENT * union, unless a caller asks for another bound.
 PERCENT = 85
-#: Agreeing minima that a candidate needs: (0.85 - 6 * sqrt(0.85 * 0.15 / 125)) * 125.
-SURE = 82
+#: The lowest bound that the band layouts are made for.
+LOWEST = 80
 #: Rows and shingles that a block of members holds; a block of heads holds a quarter.
 BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 16
 #: Columns of the matrices of two blocks at once.
@@ -42,9 +43,20 @@ MARK_WORDS = 1 << 20
 _CHUNK = 1024
 
 
+def layout(percent: int) -> tuple[int, int]:
+    """Bands, and minima of each."""
+    return (25, 5) if percent >= PERCENT else (31, 4)
+
+
+def sure(percent: int) -> int:
+    """Agreeing minima that a candidate needs: six standard deviations under the bound."""
+    p = percent / 100
+    return int((p - 6 * (p * (1 - p) / MINIMA) ** 0.5) * MINIMA)
+
+
 @lru_cache(maxsize=1)
 def _multipliers() -> np.ndarray:
-    return np.random.default_rng(20240607).integers(0, 1 << 63, BANDS * ROWS, np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+    return np.random.default_rng(20240607).integers(0, 1 << 63, MINIMA, np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
@@ -56,25 +68,28 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
-def _signatures(batch: pa.RecordBatch) -> pa.RecordBatch:
-    sizes, prints, sigs, bands = [], [], [], []
-    for body in batch.column(1):
-        found = np.unique(shingle_hashes(word_hashes(body.as_py())))
-        sizes.append(len(found))
-        if len(found):
-            low = minima(found)
-            prints.append(xxhash.xxh3_128_digest(found.tobytes()))
-            sigs.append(low.tobytes())
-            each = low.reshape(BANDS, ROWS)
-            bands.append(np.array([xxhash.xxh3_64_intdigest(each[k].tobytes(), seed=k) for k in range(BANDS)], np.uint64).view(np.int64))
-        else:
-            prints.append(None)
-            sigs.append(None)
-            bands.append(np.zeros(0, np.int64))
-    return pa.RecordBatch.from_arrays(
-        [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary()), flat_lists(bands, pa.int64())],
-        names=["id", "n_shingles", "print", "sig", "bands"],
-    )
+def _signed(n: int, width: int):
+    def signatures(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sizes, prints, sigs, bands = [], [], [], []
+        for body in batch.column(1):
+            found = np.unique(shingle_hashes(word_hashes(body.as_py())))
+            sizes.append(len(found))
+            if len(found):
+                low = minima(found)
+                prints.append(xxhash.xxh3_128_digest(found.tobytes()))
+                sigs.append(low.tobytes())
+                each = low[:n * width].reshape(n, width)
+                bands.append(np.array([xxhash.xxh3_64_intdigest(each[k].tobytes(), seed=k) for k in range(n)], np.uint64).view(np.int64))
+            else:
+                prints.append(None)
+                sigs.append(None)
+                bands.append(np.zeros(0, np.int64))
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary()), flat_lists(bands, pa.int64())],
+            names=["id", "n_shingles", "print", "sig", "bands"],
+        )
+
+    return signatures
 
 
 def _marks(ids: DataFrame) -> np.ndarray:
@@ -114,10 +129,13 @@ def _sigs_of(marks: np.ndarray):
     return sigs
 
 
-def _agree(batch: pa.RecordBatch) -> pa.RecordBatch:
-    a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(-1, BANDS * ROWS) for c in batch.columns[2:])
-    keep = pa.array((a == b).sum(axis=1) >= SURE)
-    return pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+def _agree(least: int):
+    def agree(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(-1, MINIMA) for c in batch.columns[2:])
+        keep = pa.array((a == b).sum(axis=1) >= least)
+        return pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    return agree
 
 
 def _linked(percent: int):
@@ -201,7 +219,7 @@ class _Links:
             return None
         sigs = arrow_pass(self.signed.select("id", "sig", F.xxhash64("id").alias("spot")), _sigs_of(marks), "id bigint, sig binary").dropDuplicates(["id"])
         near = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-        near = pinned(arrow_pass(near.select("a", "b", "sa", "sb"), _agree, "a bigint, b bigint"), "candidates")
+        near = pinned(arrow_pass(near.select("a", "b", "sa", "sb"), _agree(sure(self.percent)), "a bigint, b bigint"), "candidates")
         sets = self._sets(near.select(F.col("a").alias("id")).union(near.select("b")))
         return None if sets is None else self._exact(near, sets)
 
@@ -240,15 +258,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n_shingles, component) for each row of ``docs``.
 
     Two documents are linked if 100 times the intersection of their sets of five-word
-    shingles is at least ``percent`` (85 or more; the banding is made for that) of the union.
+    shingles is at least ``percent`` (80 or more; the banding is made for that) of the union.
     The component is the smallest id reachable. A text without words, or null, has an empty
     set and stands alone. A null id keeps its row with a null component. Rows that repeat an
     id are one document: what one of them links to, all do. Other columns are not read.
     """
-    if percent < PERCENT:
-        raise ValueError(f"bands are made for {PERCENT} percent or more")
+    if percent < LOWEST:
+        raise ValueError(f"bands are made for {LOWEST} percent or more")
     raw = ids_and_bytes(docs, id_col, text_col)
-    signed = pinned(arrow_pass(raw, _signatures, "id bigint, n_shingles bigint, print binary, sig binary, bands array<bigint>"), "signatures")
+    signed = pinned(arrow_pass(raw, _signed(*layout(percent)), "id bigint, n_shingles bigint, print binary, sig binary, bands array<bigint>"), "signatures")
     usable = signed.where("id is not null and print is not null")
 
     # one representative for each set

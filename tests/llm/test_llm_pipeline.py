@@ -3,6 +3,7 @@
 import collections
 import itertools
 import os
+import random
 
 import duckdb
 import pytest
@@ -11,7 +12,7 @@ import sentencepiece
 import __spark_entry__ as contract
 import corpus_pipeline
 from lakewarden.llm import queries as text_queries
-from test_llm_operators import ITEM, SCHEMA, awkward, lower, shingles, words
+from test_llm_operators import ITEM, SCHEMA, VOCABULARY, awkward, lower, shingles, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -86,3 +87,34 @@ def test_pipeline_of_nothing(spark, tmp_path):
     for name, schema in (("documents", SCHEMA), ("benchmark", "item_id bigint, text string"), ("labels", "doc_id bigint, quality int, toxic int")):
         spark.createDataFrame([], schema).write.parquet(os.path.join(tmp_path, f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_stage_links_from_four_fifths(spark):
+    """Near copies between 0.80 and 0.85 go, those under 0.80 stay, whatever the ids between them."""
+    rng = random.Random(8)
+    texts = {}
+    for k in range(30):
+        base = [f"{rng.choice(VOCABULARY)}{rng.randrange(99)}" for _ in range(84)]
+        for j, cuts in enumerate([(), (20, 40), (10, 30, 50)]):  # 80 shingles: 70 of 90, then 65 of 95, shared with the base
+            now = list(base)
+            for c in cuts:
+                now[c] = f"new{k}x{j}x{c}"
+            texts[10 * k + j] = " ".join(now)
+        now = list(base)
+        now[2], now[60] = f"head{k}", f"tail{k}"  # 72 of 88: 0.818
+        texts[10 * k + 5] = " ".join(now)
+    sets = {i: shingles(t) for i, t in texts.items()}
+    near = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(0.80 <= near(10 * k, 10 * k + 5) < 0.85 and near(10 * k, 10 * k + 1) < 0.80 for k in range(30))
+    data = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in texts.items()], SCHEMA)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, data, "").collect()}
+    assert kept == {i for i in texts if i % 10 != 5}
+
+
+def test_signature_bounds_follow_the_percent():
+    from lakewarden.llm.neardup import layout, sure
+
+    assert (sure(85), sure(80)) == (82, 73) and layout(85) == (25, 5)
+    for percent in (80, 85):
+        n, width = layout(percent)
+        assert n * width <= 125 and (1 - (percent / 100) ** width) ** n < 1e-6
