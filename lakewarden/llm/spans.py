@@ -1,10 +1,11 @@
 """Substring dedup by sliding spans of sentences.
 
 A sentence ends at [.!?] before white space, or at a line break; its key is its words,
-A-Z lower-cased, joined by one space. From every sentence a span runs over the fewest
-sentences that are three or more with at least 20 words, or that have at least 40 words: so
-a passage of some 50 words holds whole spans wherever it stands, and a common short line
-is none. Spans are hashed to 128 bits; all places of a hash but the first, by
+A-Z lower-cased, joined by one space. From every sentence, and back from every sentence, a
+span runs over the fewest sentences that are two or more with at least 20 words, or that have
+at least 25 words. So a passage is found by the sentences that stand whole in both places, if
+these are two with 20 words or have 25 words, and all of them are covered, up to the last; a
+common short line is no span. Spans are hashed to 128 bits; all places of a hash but the first, by
 (id, sentence), lose their sentences.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from lakewarden.llm.common import arrow_pass, ids_and_bytes, joined_columns, pinned
 
 #: Sentences and words of a span, and the words at which fewer sentences are enough.
-SENTENCES, WORDS, ALONE = 3, 20, 40
+SENTENCES, WORDS, ALONE = 2, 20, 25
 _BREAK = re.compile(rb"(?:(?<=[.!?])[ \t\r\x0b\x0c]|\n)[ \t\r\n\x0b\x0c]*")
 
 
@@ -36,29 +37,37 @@ def sentences(body: bytes) -> list[tuple[int, int, bytes, int]]:
     return out
 
 
-def spans(body: bytes) -> list[tuple[int, int, int]]:
-    """(first sentence, sentences, 128-bit hash) of each span of a text."""
-    found = sentences(body)
-    digests = [xxhash.xxh3_128_digest(key) for _, _, key, _ in found]
-    counts = [n for *_, n in found]
+def _shortest(counts: list[int]) -> list[tuple[int, int]]:
+    """(first, number) of the fewest sentences from each one on that make a span."""
+    whole = lambda n, total: total >= ALONE or (n >= SENTENCES and total >= WORDS)
     out, last, total = [], 0, 0
-    for first in range(len(found)):
+    for first in range(len(counts)):
         if last < first:
             last, total = first, 0
-        while last < len(found) and not (total >= ALONE or (last - first >= SENTENCES and total >= WORDS)):
+        while last < len(counts) and not whole(last - first, total):
             total += counts[last]
             last += 1
-        if total >= ALONE or (last - first >= SENTENCES and total >= WORDS):
+        if whole(last - first, total):
             # sentences that only an earlier start needed are given back
             back, rest = last, total
-            while back - first > 1 and (rest - counts[back - 1] >= ALONE or (back - 1 - first >= SENTENCES and rest - counts[back - 1] >= WORDS)):
+            while back - first > 1 and whole(back - 1 - first, rest - counts[back - 1]):
                 back -= 1
                 rest -= counts[back]
-            out.append((first, back - first, xxhash.xxh3_128_intdigest(b"".join(digests[first:back]))))
+            out.append((first, back - first))
         total -= counts[first]
     return out
 
 
+def spans(body: bytes) -> list[tuple[int, int, int]]:
+    """(first sentence, sentences, 128-bit hash) of each span of a text, each once."""
+    found = sentences(body)
+    digests = [xxhash.xxh3_128_digest(key) for _, _, key, _ in found]
+    counts = [n for *_, n in found]
+    ending = [(len(counts) - k - n, n) for k, n in _shortest(counts[::-1])]
+    places = sorted({*_shortest(counts), *ending})
+    return [(first, n, xxhash.xxh3_128_intdigest(b"".join(digests[first:first + n]))) for first, n in places]
+
+
 _SPANS = "id bigint, whole bigint, first int, n int, h1 bigint, h2 bigint"
 
 

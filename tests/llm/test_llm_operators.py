@@ -479,3 +479,32 @@ def test_span_dedup(docs, rows, empty):
     out = dedup_spans(docs)
     assert in_order(out, "doc_id", "text", "n_sentences", "n_shared", "n_removed") == sorted(expected, key=str)
     assert drop[43] and shared[42] and dedup_spans(empty).count() == 0
+
+
+def test_spans_of_fused_passages_and_tails(spark):
+    """Sentences that stand whole in both texts go, if they are two with 20 words or have 25, with short tails."""
+    from lakewarden.llm.common import prepare
+    from lakewarden.llm.spans import ALONE, SENTENCES, WORDS, dedup_spans, spans
+
+    rng = random.Random(3)
+    fresh = lambda n: " ".join(f"{rng.choice(VOCABULARY)}{rng.randrange(10 ** 6)}" for _ in range(n))
+    three = [fresh(18) + "." for _ in range(3)]
+    tail = [fresh(12) + ".", fresh(12) + ".", fresh(7) + "."]
+    texts = {
+        1: " ".join([fresh(9) + ".", *three, fresh(9) + "."]),
+        2: " ".join([fresh(9), *three, fresh(9) + "."]),  # the first sentence runs into what stands before it
+        3: " ".join([fresh(9) + ".", *tail, fresh(9) + "."]),
+        4: " ".join([fresh(9) + ".", *tail, fresh(9) + "."]),
+        5: " ".join([fresh(9) + ".", alone := fresh(25) + ".", fresh(9) + "."]),
+        6: " ".join([fresh(9) + ".", alone, fresh(9) + "."]),
+        7: " ".join([fresh(9) + ".", short := fresh(19) + ".", fresh(9) + "."]),
+        8: " ".join([fresh(9) + ".", short, fresh(9) + "."]),
+    }
+    data = prepare(spark).createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert in_order(dedup_spans(data), "doc_id", "n_removed") == [(1, 0), (2, 2), (3, 0), (4, 3), (5, 0), (6, 1), (7, 0), (8, 0)]
+    for _ in range(200):
+        sizes = [rng.choice([1, 4, 9, 12, 19, 25, 40]) for _ in range(rng.randrange(9))]
+        whole = lambda a, b: sum(sizes[a:b]) >= ALONE or (b - a >= SENTENCES and sum(sizes[a:b]) >= WORDS)
+        found = {(a, b) for a in range(len(sizes)) for b in range(a + 1, len(sizes) + 1) if whole(a, b)}
+        expected = {(a, b - a) for a, b in found if not any((a, c) in found for c in range(a, b)) or not any((c, b) in found for c in range(a + 1, b))}
+        assert [s[:2] for s in spans(" ".join(fresh(n) + "." for n in sizes).encode())] == sorted(expected)
