@@ -7,7 +7,8 @@ some window and is at least a quarter of it. Each of 64 universal hashes has its
 over a window in a contained item with the probability of their similarity, so an item
 whose whole set is in the window shares a minimum with it but for (3/4)^64 = 1e-8, and at
 containment 0.8 but for 1e-6. Block minima of a class come from those of the class below, so
-all classes together cost one pass of hashing and a window costs one comparison.
+all classes together cost one pass of hashing and a window costs one comparison. Items of one
+to four shingles have no class: every shingle of a document is looked up among theirs.
 
 A shared minimum makes the item a candidate of the document; the share of the item's
 shingles that the whole document has then decides. Items are searched in blocks of a
@@ -28,8 +29,8 @@ from lakewarden.llm.common import arrow_pass, ids_and_bytes, joined_columns, pin
 HASHES = 64
 #: Items in one index; bounds what a task holds (about 2 KB an item, and 64 KB a hash and class).
 BLOCK_ITEMS = 20_000
-#: Smallest class: blocks of 8 shingles.
-FIRST_CLASS = 3
+#: Smallest class: blocks of 8 shingles. Items of at most FEW shingles are looked up instead.
+FIRST_CLASS, FEW = 3, 4
 #: Blocks hashed at once.
 _STRETCH = 1 << 11
 _PAIRS = "doc_id bigint, item_id bigint, n_shared bigint, n_item bigint"
@@ -46,8 +47,13 @@ class ItemIndex:
         self.ids, self.sets, self.a = ids, sets, _multipliers()
         self.classes: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         by_class: dict[int, list[int]] = {}
+        few = [(found, np.full(len(found), k)) for k, found in enumerate(sets) if 0 < len(found) <= FEW]
+        keys, members = (np.concatenate(x) for x in zip(*few)) if few else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        order = np.argsort(keys, kind="stable")
+        self.few, self.few_members, self.few_table = keys[order], members[order], np.zeros(1 << 16, bool)
+        self.few_table[_slot(self.few)] = True
         for k, found in enumerate(sets):
-            if len(found):
+            if len(found) > FEW:
                 by_class.setdefault(max(FIRST_CLASS, int(len(found) - 1).bit_length()), []).append(k)
         for c, members in by_class.items():
             low = np.stack([(self.a[:, None] * sets[k][None, :]).min(axis=1) for k in members])
@@ -60,13 +66,21 @@ class ItemIndex:
                 self.classes[c].append((keys, np.array(members)[order], table))
         self.first, self.last = min(self.classes, default=0), max(self.classes, default=0)
 
+    def _with_few(self, text: np.ndarray) -> set[int]:
+        """Small items that share a shingle with a text."""
+        if not len(self.few):
+            return set()
+        near = np.unique(text[self.few_table[_slot(text)]])
+        lo, hi = np.searchsorted(self.few, near), np.searchsorted(self.few, near, "right")
+        return {k for x, y in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist()) for k in self.few_members[x:y].tolist()}
+
     def candidates(self, texts: list[np.ndarray]) -> list[set[int]]:
-        """Items that share a minimum with a window of each text; all texts go side by side.
+        """Items that share a minimum with a window of each text, or that are small and share a shingle.
 
-        Each text is filled up to whole blocks of the largest class with its last shingle; a
-        window across two texts only adds candidates.
+        All texts go side by side. Each text is filled up to whole blocks of the largest class
+        with its last shingle; a window across two texts only adds candidates.
         """
-        found: list[set[int]] = [set() for _ in texts]
+        found = [self._with_few(t) for t in texts]
         if not self.classes or not any(map(len, texts)):
             return found
         unit, size = 1 << self.last, 1 << self.first

@@ -481,6 +481,19 @@ def test_span_dedup(docs, rows, empty):
     assert drop[43] and shared[42] and dedup_spans(empty).count() == 0
 
 
+def test_short_items_inside_long_documents():
+    """Items of one to four shingles, each inside a text of other words: all are found."""
+    import numpy as np
+
+    from lakewarden.llm.common import shingle_hashes, word_hashes
+    from lakewarden.llm.decontam import ItemIndex
+
+    items = [" ".join(f"i{k}w{j}" for j in range(5 + k % 4)) for k in range(3000)]
+    index = ItemIndex(list(range(3000)), [np.unique(shingle_hashes(word_hashes(t.encode()))) for t in items])
+    bodies = [" ".join([*(f"a{k}x{j}" for j in range(30)), t, *(f"b{k}x{j}" for j in range(30))]).encode() for k, t in enumerate(items)]
+    assert [(n, i) for n, i, *_ in index.search(bodies, 80)] == [(k, k) for k in range(3000)]
+
+
 def test_spans_of_fused_passages_and_tails(spark):
     """Sentences that stand whole in both texts go, if they are two with 20 words or have 25, with short tails."""
     from lakewarden.llm.common import prepare
