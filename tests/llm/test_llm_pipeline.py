@@ -57,7 +57,7 @@ def stages_in_python(rows, items):
     part = {i: i for i in sets}
     for a, b in itertools.combinations(sorted(sets), 2):
         both = len(sets[a] & sets[b])
-        if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+        if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
             lo, hi = sorted((part[a], part[b]))
             part = {i: lo if p == hi else p for i, p in part.items()}
     now = [(i, t) for i, t in now if i is None or part[i] == i]
