@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakewarden.llm.audit import filter_audit
 from lakewarden.llm.common import documents, pinned
 from lakewarden.llm.decontam import contaminated
 from lakewarden.llm.factors import quality_scores
+from lakewarden.llm.jaccard import jaccard_join
 from lakewarden.llm.linededup import dedup_lines
 from lakewarden.llm.maxent import language_scores
 from lakewarden.llm.neardup import near_duplicates
@@ -18,6 +20,7 @@ from lakewarden.llm.rules import calibrate, quality_rules, with_statistics
 from lakewarden.llm.secrets import BASE_KINDS, find_secrets, span_text
 from lakewarden.llm.spans import dedup_spans
 from lakewarden.llm.toxicity import is_training, toxicity_scores
+from lakewarden.llm.trie import prefix_trie
 
 
 
@@ -143,3 +146,71 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), F.coalesce(~is_training("id", 5, 0), F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@query
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "n_links",
+    )
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(documents(spark, sf_dir), documents(spark, sf_dir, "labels")).select(
+        "part", "filter_order", "step", "filter", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley",
+    )
+
+
+SQL["op12_filter_audit"] = r"""
+WITH lab AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+docs AS (
+  SELECT d.doc_id, coalesce(d.lang, '') AS part, coalesce(d.text, '') AS body,
+    coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic
+  FROM documents d LEFT JOIN lab l ON l.doc_id = d.doc_id),
+words AS (
+  SELECT *, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS w,
+    CASE WHEN doc_id IS NULL THEN min(doc_id) OVER (PARTITION BY body) IS NOT NULL
+      ELSE doc_id > min(doc_id) OVER (PARTITION BY body) END AS later
+  FROM docs),
+masks AS (
+  SELECT part, good, toxic,
+    CASE WHEN len(w) < 200 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 3 * length(body) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN later THEN 16 ELSE 0 END AS mask
+  FROM words),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x),
+ranked AS (
+  SELECT m.*, o.o, least(
+    CASE WHEN mask & 1 <> 0 THEN instr(o.o, 'A') ELSE 6 END, CASE WHEN mask & 2 <> 0 THEN instr(o.o, 'B') ELSE 6 END,
+    CASE WHEN mask & 4 <> 0 THEN instr(o.o, 'C') ELSE 6 END, CASE WHEN mask & 8 <> 0 THEN instr(o.o, 'D') ELSE 6 END,
+    CASE WHEN mask & 16 <> 0 THEN instr(o.o, 'E') ELSE 6 END) AS r
+  FROM masks m, orders o),
+shapley AS (
+  SELECT part, substr(o, r, 1) AS filter, count(*) AS shapley FROM ranked WHERE r <= 5 GROUP BY part, substr(o, r, 1)),
+grid AS (
+  SELECT p.part, o.o AS filter_order, s.step, substr(o.o, s.step, 1) AS filter,
+    1 << (instr('ABCDE', substr(o.o, s.step, 1)) - 1) AS bit
+  FROM (SELECT DISTINCT part FROM masks) p, orders o, (SELECT unnest(range(1, 6)) AS step) s)
+SELECT g.part, g.filter_order, CAST(g.step AS INTEGER) AS step, g.filter,
+  count(r.mask) FILTER (WHERE r.r > g.step) AS kept,
+  count(r.mask) FILTER (WHERE r.r = g.step) AS removed,
+  count(r.mask) FILTER (WHERE r.mask & g.bit <> 0 AND r.r < g.step) AS redundant,
+  count(r.mask) FILTER (WHERE r.mask = g.bit) AS unique_fails,
+  count(r.mask) FILTER (WHERE r.r = g.step AND r.good) AS good_lost,
+  count(r.mask) FILTER (WHERE r.r = g.step AND r.toxic) AS toxic_lost,
+  coalesce(any_value(sh.shapley), 0) AS shapley
+FROM grid g LEFT JOIN ranked r ON r.part = g.part AND r.o = g.filter_order
+LEFT JOIN shapley sh ON sh.part = g.part AND sh.filter = g.filter
+GROUP BY g.part, g.filter_order, g.step, g.filter"""
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(documents(spark, sf_dir, "conversations"))

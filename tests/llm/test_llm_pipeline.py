@@ -19,7 +19,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     names = set(contract.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in text_queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in text_queries.QUERIES}
     assert {*text_queries.QUERIES, "pipeline"} <= names and set(text_queries.SQL) <= set(contract.oracle_sql())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "decontamination", "sentence_pieces"]
 
