@@ -4,6 +4,14 @@ The streamed ledger is an append-only table partitioned by a hash of the account
 newest-ingest-wins is applied when it is read together with the batch ledger.
 Each micro-batch writes below its own batch number, so a replayed batch
 overwrites its own output and nothing else.
+
+Corrections may book a transaction on another account. Which account held a
+transaction before is looked up in a narrow index (transaction_id, account_id)
+partitioned by a hash of the transaction id: a batch reads only the index
+partitions of its own ids, never the ledger. The batch ledger's part of the index,
+and its alerts (every account of the batch ledger counts as touched once), are
+written by the first run below batch number -1, so that accounts the stream never
+reaches keep their batch alerts.
 """
 
 from __future__ import annotations
@@ -22,6 +30,9 @@ Detector = Callable[[DataFrame], DataFrame]
 
 BUCKETS = 256
 _BUCKET = "account_bucket"
+_TXN_BUCKET = "txn_bucket"
+#: Batch number of what the batch ledger gives before any file arrives.
+INITIAL = -1
 
 
 def account_bucket() -> Column:
@@ -29,6 +40,29 @@ def account_bucket() -> Column:
     return F.pmod(F.xxhash64("account_id"), F.lit(BUCKETS)).cast("int")
 
 
+def txn_bucket() -> Column:
+    """Partition number of a transaction id in the index."""
+    return F.pmod(F.xxhash64("transaction_id"), F.lit(BUCKETS)).cast("int")
+
+
+def _index(df: DataFrame) -> DataFrame:
+    return df.select("transaction_id", "account_id", txn_bucket().alias(_TXN_BUCKET))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def _initial(spark: SparkSession, batch_ledger: DataFrame, detect: Detector, root: str) -> None:
+    """Index, touched accounts and alerts of the batch ledger, once for a root."""
+    if _exists(spark, f"{root}/alerts/batch_id={INITIAL}/_SUCCESS"):
+        return
+    _save(_index(batch_ledger), root, "index", INITIAL, _TXN_BUCKET)
+    _save(batch_ledger.select("account_id").distinct(), root, "touched", INITIAL)
+    _save(detect(conform_transactions(batch_ledger)), root, "alerts", INITIAL)
+
+
 def _save(df: DataFrame, root: str, part: str, batch_id: int, *partition_by: str) -> None:
     path = f"{root}/{part}/batch_id={batch_id}"
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
@@ -56,8 +90,9 @@ def _step(
         F.col("batch_id") <= batch_id
     )
     new = streamed.filter(F.col("batch_id") == batch_id)
+    _save(_index(new), root, "index", batch_id, _TXN_BUCKET)
 
-    moves = _moves(new, batch_ledger, streamed.filter(F.col("batch_id") < batch_id))
+    moves = _moves(spark, new, root, batch_id)
     if fixed_accounts:
         moves = moves.limit(0)
     _save(moves, root, "moves", batch_id)
@@ -82,10 +117,19 @@ def _step(
     _save(detect(settled.drop("_now")), root, "alerts", batch_id)
 
 
-def _moves(new: DataFrame, batch_ledger: DataFrame, earlier: DataFrame) -> DataFrame:
-    """Transactions a correction books on another account than before."""
-    columns = ["transaction_id", F.col("account_id").alias("old_account")]
-    prior = batch_ledger.select(*columns).unionByName(earlier.select(*columns))
+def _moves(spark: SparkSession, new: DataFrame, root: str, batch_id: int) -> DataFrame:
+    """Transactions a correction books on another account than before.
+
+    Reads the index partitions of the batch's transaction ids only (at most BUCKETS
+    numbers come to the driver).
+    """
+    buckets = [r[0] for r in new.select(txn_bucket()).distinct().collect()]
+    index = spark.read.schema(
+        f"transaction_id string, account_id string, {_TXN_BUCKET} int, batch_id bigint"
+    ).parquet(f"{root}/index")
+    prior = index.filter(F.col(_TXN_BUCKET).isin(buckets) & (F.col("batch_id") < batch_id)).select(
+        "transaction_id", F.col("account_id").alias("old_account")
+    )
     return (
         new.select("transaction_id", F.col("account_id").alias("new_account"))
         .join(prior, "transaction_id")
@@ -101,12 +145,14 @@ def run_incremental(
 ) -> StreamingQuery:
     """Process what has arrived: append it, then re-run ``detect`` for its accounts.
 
-    ``detect`` maps a conformed ledger to alerts and is called with the whole
-    history of the touched accounts only. A correction may move a transaction to
-    another account; finding those reads the transaction ids of the ledger. A feed
-    that never does so can set ``fixed_accounts``, and then only the partitions of
-    touched accounts are read.
+    ``detect`` maps a conformed ledger to alerts of any number of account-owned
+    families and is called with the whole history of the touched accounts only. A
+    correction may move a transaction to another account; finding those reads the
+    index partitions of the batch's ids. A feed that never does so can set
+    ``fixed_accounts``. The first run for a root also writes the batch ledger's index
+    and alerts (batch -1).
     """
+    _initial(lane.sparkSession, batch_ledger, detect, root)
     step = partial(
         _step, batch_ledger=batch_ledger, detect=detect, root=root, fixed_accounts=fixed_accounts
     )
@@ -121,7 +167,8 @@ def run_incremental(
 def current_alerts(spark: SparkSession, root: str) -> DataFrame:
     """Alerts as of the last run: per account only those of its latest batch.
 
-    An alert belongs to its first account; one without accounts is not followed here.
+    An alert belongs to its first account. One without accounts is kept from the
+    latest batch that gave an alert of its id.
     """
     alerts = _read(spark, root, "alerts", with_batch_id(ALERT))
     latest = (
@@ -130,8 +177,11 @@ def current_alerts(spark: SparkSession, root: str) -> DataFrame:
         .agg(F.max("batch_id").alias("batch_id"))
     )
     owner = F.get("account_ids", F.lit(0)).alias("account_id")
+    owned = alerts.select("*", owner)
+    loose = owned.filter(F.col("account_id").isNull())
+    newest = loose.groupBy("alert_id").agg(F.max("batch_id").alias("batch_id"))
     return (
-        alerts.select("*", owner)
-        .join(latest, ["account_id", "batch_id"], "left_semi")
+        owned.join(latest, ["account_id", "batch_id"], "left_semi")
+        .unionByName(loose.join(newest, ["alert_id", "batch_id"], "left_semi"))
         .drop("account_id", "batch_id")
     )

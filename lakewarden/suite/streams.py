@@ -5,6 +5,8 @@ The landing files are written by Spark from the given tables.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from lakewarden.config import AlertConfig
 from lakewarden.functions import clock
 from lakewarden.operators.conform import conform_cards, conform_transactions
 from lakewarden.plans import detectors
-from lakewarden.plans.medallion import AS_OF_LEDGER, EVENT_CFG, LEDGER_CFG
+from lakewarden.plans.medallion import AS_OF_LEDGER, DORMANT_WINDOW, EVENT_CFG, LEDGER_CFG, RAPID_HOURS
 from lakewarden.schemas import with_batch_id
 from lakewarden.session import scratch_path
 from lakewarden.streaming.incremental import current_alerts, run_incremental
@@ -115,6 +117,34 @@ def _(lake):
     )
 
 
+@query("incremental_ledger_families", """
+SELECT alert_id, alert_type, severity, account_ids, txn_ids, round(score, 4) AS score FROM a_rapid
+UNION ALL SELECT alert_id, alert_type, severity, account_ids, txn_ids, round(score, 4) FROM a_freq
+UNION ALL SELECT alert_id, alert_type, severity, account_ids, txn_ids, round(score, 4) FROM a_dormant
+UNION ALL SELECT alert_id, alert_type, severity, account_ids, txn_ids, round(score, 4) FROM a_struct""")
+def _(lake):
+    """Four account-owned ledger families, run incrementally over the streamed half-year, equal the batch run."""
+    late = F.col("txn_ts") >= clock.at("2001-01-01")
+    landing, root = scratch_path(lake.spark, "landing"), scratch_path(lake.spark, "incremental")
+    _drop(lake.ledger.filter(late), landing)
+
+    def detect(ledger: DataFrame) -> DataFrame:
+        accounts, emap = lake.roles.accounts(), lake.emap
+        return reduce(DataFrame.unionByName, [
+            detectors.detect_rapid_movement(ledger, accounts, emap, LEDGER_CFG, AS_OF_LEDGER, RAPID_HOURS),
+            detectors.detect_frequency_change(ledger, accounts, emap, LEDGER_CFG, AS_OF_LEDGER),
+            detectors.detect_dormant(ledger, accounts, emap, LEDGER_CFG, AS_OF_LEDGER, DORMANT_WINDOW),
+            detectors.detect_structuring(ledger, accounts, emap, LEDGER_CFG, AS_OF_LEDGER),
+        ])
+
+    lane = stream_ledger(lake.spark, landing).drop("_rescued")
+    run_incremental(lane, lake.ledger.filter(~late), detect, root, f"{root}/checkpoint").awaitTermination()
+    return current_alerts(lake.spark, root).select(
+        "alert_id", "alert_type", "severity", F.array_join("account_ids", ",").alias("account_ids"),
+        F.array_join("transaction_ids", ",").alias("txn_ids"), F.round("score", 4).alias("score"),
+    )
+
+
 @query("stateful_travel", f"""
 SELECT card_id, card_txn_id, prev_city, city, {ts('txn_ts')} AS txn_ts, CAST(round(implied_kmh) AS BIGINT) AS kmh
 FROM tap_pairs WHERE implied_kmh > {EVENT_CFG.max_feasible_kmh}""")

@@ -22,7 +22,7 @@ CHECKED = [
     "ego_network_nodes", "travel_legs", "alert_summary", "alert_queue", "build_cases", "fold_cases",
     "resolution_flow", "case_evidence", "lifecycle_replay", "text_guardrail", "document_fields", "vector_topk",
     "str_report_validation", "sar_labels", "roc_auc", "landed_documents", "alert_config_relation", "quality_report_declared",
-    "windowed_rapid_movement", "incremental_alerts", "graph_seeds", "graph_relations", "eval_summary", "model_metrics", "drift_metrics", "stream_malformed_rows",
+    "windowed_rapid_movement", "incremental_alerts", "incremental_ledger_families", "graph_seeds", "graph_relations", "eval_summary", "model_metrics", "drift_metrics", "stream_malformed_rows",
 ]
 PLANNED = [
     "dedupe_newest_ingest", "entity_resolution", "rapid_movement", "frequency_change", "ubo_change", "account_takeover",
