@@ -1,10 +1,12 @@
 """Ordered per-key operators that survive a key holding a third of all rows.
 
 ``lag`` over ``partitionBy(key)`` sorts a whole key in one task. Here a hot key
-is cut into time slices; each slice is an own window partition, and only the
-last value of a slice is carried into the next one. Keys that are not hot stay
-whole, so the usual case costs one shuffle, as the plain window does, plus a
-map-side combined count on the key column.
+is cut into slices of equal row counts (positions from range partitioning, so
+equal timestamps are cut too); each slice is an own window partition, and only
+the last value of a slice is carried into the next one. Keys that are not hot
+stay whole, so the usual case costs one shuffle, as the plain window does, plus
+a map-side combined count on the key column. ``slice_hot_keys`` (time slices)
+remains for the case lifecycle, which cuts by time on purpose.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakewarden.config import SkewPolicy
+from lakewarden.operators.ranking import row_index
 
 _SLICE = "_slice"
 _HOT = "_hot"
@@ -62,6 +65,32 @@ def slice_hot_keys(
     )
 
 
+def _sliced_carry(df: DataFrame, keys: Sequence[str], order: Sequence[str], frame_end: int) -> DataFrame:
+    """Add ``_near``: the carried ``_src`` of rows cut into slices of equal row counts.
+
+    Rows are numbered in (keys, order) by range partitioning (``row_index``); a slice
+    is ``slice_rows`` consecutive positions, so equal timestamps are cut like any
+    others. Within a (key, slice) the window carries; into a slice, the last source
+    of the key's earlier slices is carried by a second, small window over slice tails.
+    """
+    rows = df.withColumn(_SLICE, F.floor((F.col("_pos") - 1) / F.col("_slice_rows")))
+    local = W.partitionBy(*keys, _SLICE).orderBy(*order).rowsBetween(W.unboundedPreceding, frame_end)
+    nearby = F.last("_src", ignorenulls=True).over(local)
+    by_slice = W.partitionBy(*[f"{k}_h" for k in keys]).orderBy(f"{_SLICE}_h")
+    before = (
+        rows.groupBy(*[F.col(k).alias(f"{k}_h") for k in keys], F.col(_SLICE).alias(f"{_SLICE}_h"))
+        .agg(F.max_by("_src", F.when(F.col("_src").isNotNull(), F.struct(*order))).alias("_tail"))
+        .withColumn("_before", F.last("_tail", ignorenulls=True).over(by_slice.rowsBetween(W.unboundedPreceding, -1)))
+        .drop("_tail")
+    )
+    marked = rows.withColumn("_near", nearby)
+    return (
+        marked.join(before, _null_safe(marked, before, [*keys, _SLICE]), "left")
+        .withColumn("_near", F.coalesce(F.col("_near"), F.col("_before")))
+        .drop("_before", _SLICE, "_pos", "_slice_rows", *[f"{k}_h" for k in [*keys, _SLICE]])
+    )
+
+
 def carry_last(
     df: DataFrame,
     keys: Sequence[str],
@@ -77,38 +106,41 @@ def carry_last(
     With ``where``, only rows satisfying it are a source (an as-of join against
     rows unioned into the same frame). ``order[0]`` must be the event time; the
     other columns break ties.
+
+    Keys of fewer than ``policy.hot_rows`` rows take one window. Rows of hot keys
+    are numbered by range partitioning and cut into slices of ``slice_rows``
+    rows, whatever their timestamps. The hot list is broadcast to split the rows
+    when it has at most ``max_hot_keys`` entries (it can never have more than
+    rows / hot_rows); beyond that, every row takes the sliced path, with no
+    broadcast and no key left whole.
     """
     source = F.lit(True) if where is None else where
-    sliced = slice_hot_keys(df, keys, F.col(order[0]), policy)
-    sliced = sliced.withColumn("_src", F.when(source, F.struct(value.alias("v"))))
-
-    local = W.partitionBy(*keys, _SLICE).orderBy(*order)
-    frame = local.rowsBetween(W.unboundedPreceding, 0 if include_current else -1)
-    nearby = F.last("_src", ignorenulls=True).over(frame)
-
-    by_slice = W.partitionBy(*[f"{k}_h" for k in keys]).orderBy(f"{_SLICE}_h")
-    before = (
-        sliced.filter(F.col(_HOT))
-        .groupBy(*[F.col(k).alias(f"{k}_h") for k in keys], F.col(_SLICE).alias(f"{_SLICE}_h"))
-        .agg(
-            F.max_by(
-                "_src", F.when(F.col("_src").isNotNull(), F.struct(*order))
-            ).alias("_tail")
-        )
-        .withColumn(
-            "_before",
-            F.last("_tail", ignorenulls=True).over(
-                by_slice.rowsBetween(W.unboundedPreceding, -1)
-            ),
-        )
-        .drop("_tail")
-    )
-    marked = sliced.withColumn("_near", nearby)
-    return (
-        marked.join(before, _null_safe(marked, before, [*keys, _SLICE]), "left")
-        .withColumn(out, F.coalesce(F.col("_near"), F.col("_before"))["v"])
-        .drop("_near", "_before", "_src", _SLICE, _HOT, *[f"{k}_h" for k in [*keys, _SLICE]])
+    frame_end = 0 if include_current else -1
+    marked = df.withColumn("_src", F.when(source, F.struct(value.alias("v"))))
+    plain = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, frame_end)
+    hot = (
+        marked.groupBy(*[F.col(k).alias(f"{k}_h") for k in keys])
+        .agg(F.count("*").alias("_rows"))
+        .filter(F.col("_rows") >= policy.hot_rows)
+        .select(*[f"{k}_h" for k in keys])
     )
+    n_hot = hot.count()
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        numbered = row_index(rows, [*keys, *order], "_pos").withColumn("_slice_rows", F.lit(policy.slice_rows))
+        return _sliced_carry(numbered, keys, order, frame_end)
+
+    if n_hot == 0:
+        done = marked.withColumn("_near", F.last("_src", ignorenulls=True).over(plain))
+    elif n_hot > policy.max_hot_keys:
+        done = sliced(marked)
+    else:
+        flagged = marked.join(
+            F.broadcast(hot.withColumn(_HOT, F.lit(True))), _null_safe(marked, hot, keys), "left",
+        ).withColumn(_HOT, F.coalesce(F.col(_HOT), F.lit(False))).drop(*[f"{k}_h" for k in keys])
+        cold = flagged.filter(~F.col(_HOT)).withColumn("_near", F.last("_src", ignorenulls=True).over(plain))
+        done = cold.unionByName(sliced(flagged.filter(F.col(_HOT)))).drop(_HOT)
+    return done.withColumn(out, F.col("_near")["v"]).drop("_near", "_src")
 
 
 def previous(

@@ -227,3 +227,18 @@ def test_sources_and_sinks(spark, tmp_path):
     tables.append_events(tables.watchlist(spark), path)
     assert tables.read_table(spark, str(tmp_path), "watchlist").count() == 20
     assert tables.teams(spark).count() == 4 and tables.analysts(spark).count() == 6
+
+
+@pytest.mark.parametrize("policy", [SkewPolicy(hot_rows=10, slice_rows=100), SkewPolicy(hot_rows=10, slice_rows=100, max_hot_keys=0)])
+def test_carry_cuts_equal_timestamps_by_rows(spark, policy):
+    """A key of 1,000 rows at one instant is cut into ten slices of 100 and still carries like one window."""
+    from lakewarden.operators.ranking import row_index
+
+    rows = [("hot", 0, i, i if i % 7 == 0 else None) for i in range(1000)] + [("cold", 0, i, i) for i in range(5)] + [(None, 0, 9, 9), (None, 0, 10, None)]
+    df = spark.createDataFrame(rows, "k string, s int, i int, v int").withColumn("ts", F.timestamp_seconds(F.col("s")))
+    w = W.partitionBy("k").orderBy("ts", "i").rowsBetween(W.unboundedPreceding, -1)
+    want = df.withColumn("p", F.last("v", ignorenulls=True).over(w)).select("k", "i", "p")
+    got = carry_last(df, ["k"], ["ts", "i"], F.col("v"), "p", F.col("v").isNotNull(), False, policy).select("k", "i", "p")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    hot = row_index(df.filter("k = 'hot'"), ["k", "ts", "i"], "pos").groupBy(F.floor((F.col("pos") - 1) / 100)).count()
+    assert sorted(r["count"] for r in hot.collect()) == [100] * 10
