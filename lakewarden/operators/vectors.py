@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,7 +12,9 @@ from pyspark.sql import types as T
 
 from lakewarden.operators.ranking import top_k
 
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 2_048
+#: Block pairs in one Arrow batch: each holds two blocks of vectors (a few MB).
+PAIRS_PER_BATCH = 4
 
 
 def _unit(rows) -> np.ndarray:
@@ -33,41 +34,30 @@ def _best(query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) ->
     return pd.concat(parts, ignore_index=True)
 
 
-def _topk_block(
-    block: list, corpus: DataFrame, k: int, ident: str, vector: str, out: T.StructType
-) -> DataFrame:
-    query_ids = np.array([r[0] for r in block])
-    queries = _unit([r[1] for r in block])
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        for pdf in batches:
-            if pdf.empty:
+def _pairs_of_blocks(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """Top ``k`` corpus rows of each query, for each (query block, corpus block) row."""
+    for pdf in batches:
+        for q_ids, q_vecs, c_ids, c_vecs in zip(pdf["q_ids"], pdf["q_vecs"], pdf["c_ids"], pdf["c_vecs"], strict=True):
+            if len(q_ids) == 0 or len(c_ids) == 0:
                 continue
-            scores = np.round(queries @ _unit(pdf[vector]).T, 9)
-            found = _best(query_ids, pdf[ident].to_numpy(), scores, k)
-            held = found if held is None else pd.concat([held, found], ignore_index=True)
-            held = held.sort_values(
-                ["query_id", "score", "vec_id"], ascending=[True, False, True]
-            ).groupby("query_id").head(k)
-        if held is not None:
-            yield held
-
-    return corpus.select(ident, vector).mapInPandas(search, out)
+            scores = np.round(_unit(q_vecs) @ _unit(c_vecs).T, 9)
+            yield _best(np.asarray(q_ids), np.asarray(c_ids), scores, k)
 
 
 def vector_topk(
     queries: DataFrame, corpus: DataFrame, k: int, ident: str = "vec_id",
     vector: str = "embedding", block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """(query_id, vec_id, score, rank): the ``k`` nearest corpus rows of each query.
-
-    Queries travel to the tasks in blocks of a counted size; a larger query table
-    becomes several blocks, each one scan of the corpus. Every task reduces its
-    share of the corpus to ``k`` rows per query, so the shuffle does not grow with
-    the corpus.
+    """(query_id, vec_id, score, rank): the ``k`` nearest corpus rows of each query, exactly.
+
+    Both tables are dealt by a hash of the id into blocks of about ``block_rows``
+    rows (their number from a count), by a shuffle; every query block is sent to
+    every corpus block by an equi-join on the corpus block number, and each pair of
+    blocks is scored in one task, which keeps ``k`` rows per query. Nothing passes
+    through the driver but the two counts. Equal scores go to the smaller id; null
+    vectors are never searched nor found; zero vectors score 0.
     """
-    corpus = corpus.filter(F.col(vector).isNotNull())
+    corpus = corpus.filter(F.col(vector).isNotNull()).select(ident, vector)
     queries = queries.filter(F.col(vector).isNotNull()).select(ident, vector)
     kind = corpus.schema[ident].dataType
     out = T.StructType([
@@ -75,18 +65,25 @@ def vector_topk(
         T.StructField("vec_id", kind),
         T.StructField("score", T.DoubleType()),
     ])
-    head = queries.limit(block_rows + 1).collect()
-    if len(head) <= block_rows:
-        blocks = iter([head])
-    else:
-        n_blocks = -(-queries.count() // block_rows)
-        slot = F.pmod(F.xxhash64(ident), F.lit(n_blocks))
-        blocks = (queries.filter(slot == i).collect() for i in range(n_blocks))
-    found = [_topk_block(b, corpus, k, ident, vector, out) for b in blocks if b]
-    if not found:
-        return queries.sparkSession.createDataFrame([], out).withColumn("rank", F.lit(0))
-    merged = reduce(DataFrame.unionByName, found)
-    best = top_k(merged, ["query_id"], [F.desc("score"), F.col("vec_id")], k)
+    spark = queries.sparkSession
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > PAIRS_PER_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PAIRS_PER_BATCH))
+    q_blocks = max(1, -(-queries.count() // block_rows))
+    c_blocks = max(1, -(-corpus.count() // block_rows))
+
+    def dealt(df: DataFrame, n: int, name: str) -> DataFrame:
+        slot = F.pmod(F.xxhash64(ident), F.lit(n)).alias(name)
+        return df.groupBy(slot).agg(
+            F.collect_list(ident).alias("ids"), F.collect_list(vector).alias("vecs")
+        )
+
+    q = dealt(queries, q_blocks, "qb").select(
+        "qb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"),
+        F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"),
+    )
+    c = dealt(corpus, c_blocks, "cb").select("cb", F.col("ids").alias("c_ids"), F.col("vecs").alias("c_vecs"))
+    found = q.join(c, "cb").select("q_ids", "q_vecs", "c_ids", "c_vecs").mapInPandas(lambda b: _pairs_of_blocks(b, k), out)
+    best = top_k(found, ["query_id"], [F.desc("score"), F.col("vec_id")], k)
     entry = F.struct((-F.col("score")).alias("o"), "vec_id")
     return (
         best.groupBy("query_id")
