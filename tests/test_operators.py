@@ -242,3 +242,22 @@ def test_carry_cuts_equal_timestamps_by_rows(spark, policy):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     hot = row_index(df.filter("k = 'hot'"), ["k", "ts", "i"], "pos").groupBy(F.floor((F.col("pos") - 1) / 100)).count()
     assert sorted(r["count"] for r in hot.collect()) == [100] * 10
+
+
+def test_ivf_index_reaches_its_recall(spark):
+    """Clustered vectors and a very common one: every row indexed, probes chosen for recall 0.95 or more."""
+    import numpy as np
+
+    from lakewarden.operators.vectors import choose_probes, ivf_centres, ivf_topk, recall_at_k
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16))
+    vecs = np.concatenate([centres[rng.integers(12, size=600)] + 0.3 * rng.normal(size=(600, 16)), np.tile(centres[0], (200, 1))])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "vec_id bigint, embedding array<double>").repartition(4)
+    queries = df.filter("vec_id % 100 = 0")
+    fitted = ivf_centres(df, lists=16)
+    probes, recall = choose_probes(queries, df, 3, fitted)
+    assert recall >= 0.95 and 1 <= probes <= 16
+    got = ivf_topk(queries, df, 3, fitted, probes, block_rows=50)
+    assert recall_at_k(got, vector_topk(queries, df, 3)) >= 0.95
+    assert got.select("query_id").distinct().count() == queries.count()
