@@ -24,8 +24,6 @@ from lakewarden.llm.common import arrow_pass, pinned
 
 #: Labelled training rows that the lexicon is fitted on, at most: those with the smallest hashes.
 FIT_ROWS = 40_000
-#: Candidate entries that are weighed, at most: those in the most toxic rows.
-MAX_TERMS = 50_000
 #: Toxic rows, log-likelihood ratio and log odds that an entry needs.
 MIN_ROWS, MIN_RATIO, MIN_WEIGHT, MAX_WEIGHT = 4, 30.0, 2.0, 8.0
 #: Letters of the word beginnings that are tried.
@@ -139,40 +137,26 @@ def fit_sample(docs: DataFrame, labels: DataFrame, training: Column, id_col: str
     return pinned(texts.join(F.broadcast(chosen), "id"), "fit-sample")
 
 
-def _counted(counts: Counter) -> pa.RecordBatch:
-    keys = list(counts)
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([counts[k] for k in keys], pa.int64())], names=["term", "n"])
+def _row_terms(body: bytes) -> set[str]:
+    """The words ("=", 3 to 40 letters) and beginnings ("^") of one text."""
+    words = set(_WORD.findall(fold(body.decode("utf-8", "replace"))))
+    terms = {"=" + w for w in words if 3 <= len(w) <= 40}
+    terms.update("^" + w[:k] for w in words for k in PREFIXES if len(w) > k)
+    return terms
 
 
-def _candidates(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Rows of the batch that have each word ("=") or beginning ("^")."""
+def _supports(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(term, toxic, clean): rows of the batch of each label that have the term; "#" counts rows."""
     counts: Counter = Counter()
-    for body in batch.column(0):
-        words = set(_WORD.findall(fold(body.as_py().decode("utf-8", "replace"))))
-        terms = {"=" + w for w in words if 3 <= len(w) <= 40}
-        terms.update("^" + w[:k] for w in words for k in PREFIXES if len(w) > k)
-        counts.update(terms)
-    return _counted(counts)
-
-
-def _supports(terms: list[str]):
-    flat: dict[str, tuple[float, float]] = {t[1:]: (0.0, 0.0) for t in terms}
-    wanted = set(terms)
-
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = set(flat)
-        counts: Counter = Counter()
-        for body, label in zip(batch.column(0), batch.column(1).to_pylist()):
-            found = set()
-            for w in set(_WORD.findall(fold(body.as_py().decode("utf-8", "replace")))):
-                if w in words and "=" + w in wanted:
-                    found.add("=" + w)
-                found.update("^" + w[:k] for k in PREFIXES if len(w) > k and "^" + w[:k] in wanted)
-            counts.update(f"{int(label > 0)}{t}" for t in found)
-            counts[f"{int(label > 0)}#"] += 1
-        return _counted(counts)
-
-    return count
+    for body, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        side = int(label > 0)
+        counts.update((t, side) for t in _row_terms(body))
+        counts[("#", side)] += 1
+    terms = sorted({t for t, _ in counts})
+    return pa.RecordBatch.from_arrays(
+        [pa.array(terms, pa.string()), pa.array([counts[(t, 1)] for t in terms], pa.int64()), pa.array([counts[(t, 0)] for t in terms], pa.int64())],
+        names=["term", "toxic", "clean"],
+    )
 
 
 def _log_ratio(a: int, n: int, b: int, m: int) -> float:
@@ -184,25 +168,42 @@ def _log_ratio(a: int, n: int, b: int, m: int) -> float:
     return 2 * (part(a, n, a / n) + part(b, m, b / m) - part(a, n, both) - part(b, m, both))
 
 
+def _spark_log_ratio(a: Column, n: Column, b: Column, m: Column) -> Column:
+    """``_log_ratio`` as a Spark expression."""
+    def part(k, of, p):
+        return F.when(k > 0, k * F.log(p)).otherwise(0.0) + F.when(of > k, (of - k) * F.log(1 - p)).otherwise(0.0)
+
+    both = (a + b) / (n + m)
+    return 2 * (part(a, n, a / n) + part(b, m, b / m) - part(a, n, both) - part(b, m, both))
+
+
 def learn_terms(sample: DataFrame) -> dict[str, tuple[float, float]]:
-    """{term: (weight as a word, weight as a beginning)} from (id, body, label) rows."""
-    counted = arrow_pass(sample.where("label > 0").select("body"), _candidates, "term string, n bigint")
-    top = counted.groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_ROWS).orderBy(F.desc("n"), "term").limit(MAX_TERMS)
-    terms = [r.term for r in top.collect()]
-    supports = arrow_pass(sample.select("body", "label"), _supports(sorted({*terms, *("=" + s for s in SEEDS)})), "term string, n bigint")
-    seen = {r.term: r.n for r in supports.groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    toxic, clean = seen.get("1#", 0), seen.get("0#", 0)
+    """{term: (weight as a word, weight as a beginning)} from (id, body, label) rows.
+
+    Toxic and clean support of every word and beginning of the sample is counted in one
+    grouped job; the ratio and weight tests run in Spark, and only the terms that pass,
+    and listed words that clean rows use more, reach the driver.
+    """
+    supports = arrow_pass(sample.select("body", "label"), _supports, "term string, toxic bigint, clean bigint").groupBy("term").agg(
+        F.sum("toxic").alias("a"), F.sum("clean").alias("b"),
+    )
+    totals = supports.where(F.col("term") == "#").first()
     weights: dict[str, list[float]] = {s: [SEED_WEIGHT, 0.0] for s in SEEDS}
+    toxic, clean = (totals["a"], totals["b"]) if totals else (0, 0)
     if not toxic or not clean:
         return {t: tuple(w) for t, w in weights.items()}
-    for term in {k[1:] for k in seen if k[1:] != "#"}:
-        a, b = seen.get("1" + term, 0), seen.get("0" + term, 0)
-        weight = math.log((a + 0.5) / (toxic - a + 0.5)) - math.log((b + 0.5) / (clean - b + 0.5))
-        kept = a / toxic > b / clean and weight >= MIN_WEIGHT and _log_ratio(a, toxic, b, clean) >= MIN_RATIO
-        entry = weights.setdefault(term[1:], [0.0, 0.0])
-        if kept:
-            entry[term[0] == "^"] = min(weight, MAX_WEIGHT)
-        elif term[0] == "=" and b > a and b >= MIN_ROWS:
+    a, b, n, m = F.col("a"), F.col("b"), F.lit(float(toxic)), F.lit(float(clean))
+    weight = F.log((a + 0.5) / (n - a + 0.5)) - F.log((b + 0.5) / (m - b + 0.5))
+    kept = (a >= MIN_ROWS) & (a / n > b / m) & (weight >= MIN_WEIGHT) & (_spark_log_ratio(a, n, b, m) >= MIN_RATIO)
+    listed = F.col("term").isin(["=" + s for s in SEEDS])
+    found = supports.where((F.col("term") != "#") & (kept | listed)).select(
+        "term", "a", "b", kept.alias("kept"), F.least(weight, F.lit(MAX_WEIGHT)).alias("weight"),
+    )
+    for row in found.collect():
+        entry = weights.setdefault(row.term[1:], [0.0, 0.0])
+        if row.kept:
+            entry[row.term[0] == "^"] = row.weight
+        elif row.term[0] == "=" and row.b > row.a and row.b >= MIN_ROWS:
             entry[0] = 0.0  # a listed word that clean rows use more
     return {t: tuple(w) for t, w in weights.items() if max(w) > 0}
 

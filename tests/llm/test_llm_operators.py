@@ -373,6 +373,40 @@ def test_toxicity(spark, docs, labels, empty):
     assert len(held) > 100 and all(a == b for a, b in held)
 
 
+def test_lexicon_weighs_every_candidate(spark):
+    """All words and beginnings of the fit sample are weighed, none cut by count first; equals plain Python."""
+    from lakewarden.llm import toxicity as tx
+
+    rng = random.Random(6)
+    rows = []
+    for k in range(400):
+        toxic = k % 4 == 0
+        words = [rng.choice(VOCABULARY) for _ in range(30)] + [f"common{k % 7}"]
+        if toxic:
+            words.append(f"rare{'abcdefghi'[k % 9]}word")  # each in about 11 toxic rows and no clean one
+        if k % 50 == 1:
+            words.append("stupid")  # a listed word that only clean rows use
+        rows.append((k, " ".join(words).encode(), int(toxic)))
+    sample = spark.createDataFrame(rows, "id bigint, body binary, label int")
+    got = tx.learn_terms(sample)
+    toxic_n = sum(1 for r in rows if r[2]); clean_n = len(rows) - toxic_n
+    support = collections.Counter()
+    for _, body, label in rows:
+        for t in tx._row_terms(body):
+            support[(t, label)] += 1
+    want = {s: [tx.SEED_WEIGHT, 0.0] for s in tx.SEEDS}
+    for t in {t for t, _ in support}:
+        a, b = support[(t, 1)], support[(t, 0)]
+        weight = math.log((a + 0.5) / (toxic_n - a + 0.5)) - math.log((b + 0.5) / (clean_n - b + 0.5))
+        if a >= tx.MIN_ROWS and a / toxic_n > b / clean_n and weight >= tx.MIN_WEIGHT and tx._log_ratio(a, toxic_n, b, clean_n) >= tx.MIN_RATIO:
+            want.setdefault(t[1:], [0.0, 0.0])[t[0] == "^"] = min(weight, tx.MAX_WEIGHT)
+        elif t[0] == "=" and t[1:] in tx.SEEDS and b > a and b >= tx.MIN_ROWS:
+            want[t[1:]][0] = 0.0
+    want = {t: tuple(w) for t, w in want.items() if max(w) > 0}
+    assert got.keys() == want.keys() and all(abs(got[t][i] - want[t][i]) < 1e-9 for t in got for i in (0, 1))
+    assert {f"rare{c}word" for c in "abcdefghi"} <= set(got) and "stupid" not in got
+
+
 def test_quality_classifier(spark, docs, labels, empty):
     from lakewarden.llm.factors import BUCKETS, features, initial, quality_scores, raw_score
     from lakewarden.llm.toxicity import is_training
