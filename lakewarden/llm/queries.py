@@ -80,9 +80,7 @@ SQL["op3_line_dedup"] = r"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
 numbered AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM docs),
 keyed AS (
-  SELECT *, translate(regexp_replace(regexp_replace(line, '^[ 	-
-]+', ''), '[ 	-
-]+$', ''),
+  SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM numbered),
 owners AS (SELECT key, min(doc_id) AS owner FROM keyed WHERE length(key) >= 10 GROUP BY key),
 judged AS (SELECT k.*, coalesce(o.owner, k.doc_id) = k.doc_id AS stays FROM keyed k LEFT JOIN owners o USING (key))

@@ -162,3 +162,21 @@ def test_prefix_trie_of_a_long_chain_and_of_nothing(spark):
     got = {(r.conv_id, r.depth): (r.parent_conv_id, r.n_convs, r.n_children, r.n_leaves, r.saved_tokens, r.ends_sha256) for r in prefix_trie(data).collect()}
     assert got == brute_trie(rows)
     assert prefix_trie(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
+
+
+def test_line_dedup_sql_strips_all_white_space(spark, tmp_path):
+    """Lines that differ only by \\r, \\v or \\f at their ends share a key, in the operator and in its SQL."""
+    rows = [
+        (1, "A shared line of some length\r\nfirst own line\r\n"),
+        (2, "a shared line of some length\x0b\nsecond own line"),
+        (3, "\x0cA SHARED line of some length\x0c\nthird\r"),
+        (4, None), (5, ""),
+    ]
+    spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet')")
+    df = text_queries.QUERIES["op3_line_dedup"](spark, str(tmp_path))
+    cols = sorted(df.columns)
+    got = sorted(map(tuple, df.select(*cols).collect()))
+    assert got == sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({text_queries.SQL['op3_line_dedup']})").fetchall())
+    assert {r[cols.index("doc_id")]: r[cols.index("n_dropped")] for r in got} == {1: 0, 2: 1, 3: 1, 4: 0, 5: 0}
