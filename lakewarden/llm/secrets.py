@@ -86,22 +86,26 @@ def _weight(count: Column) -> Column:
 
 def _hot_spans(run: Column, threshold: Column) -> Column:
     """Merged hot windows of one candidate, as structs (s, e) counted from its start."""
-    chars = F.split(run, "", -1)
-    chars = F.filter(chars, lambda c: c != "")
-    letters = F.array_distinct(chars)
-    codes = F.transform(chars, lambda c: F.array_position(letters, c).cast("int") - 1)
-    return F.aggregate(
-        F.array(F.struct(codes.alias("codes"), F.size(letters).alias("width"))),
-        F.array().cast("array<struct<s:int,e:int>>"),
+    chars = F.filter(F.split(run, "", -1), lambda c: c != "")
+    empty = F.array().cast("array<struct<s:int,e:int>>")
+    # Characters and their distinct letters are bound once, as one element, so that no
+    # lambda below recomputes them for each character.
+    bound = F.array(F.struct(chars.alias("chars"), F.array_distinct(chars).alias("letters")))
+    return F.aggregate(bound, empty, lambda none, held: F.aggregate(
+        F.array(F.struct(
+            F.transform(held["chars"], lambda c: F.array_position(held["letters"], c).cast("int") - 1).alias("codes"),
+            F.size(held["letters"]).alias("width"),
+        )),
+        empty,
         lambda none, it: F.aggregate(
             F.sequence(F.lit(0), F.size(it["codes"]) - 1),
             F.struct(
-                F.array_repeat(F.lit(0), it["width"]).alias("counts"), F.lit(0.0).alias("total"), F.array().cast("array<struct<s:int,e:int>>").alias("spans"),
+                F.array_repeat(F.lit(0), it["width"]).alias("counts"), F.lit(0.0).alias("total"), empty.alias("spans"),
             ),
             lambda acc, i: _slide(acc, i, F.get(it["codes"], i), F.get(it["codes"], i - WINDOW), threshold),
             lambda acc: acc["spans"],
         ),
-    )
+    ))
 
 
 def _slide(acc: Column, i: Column, enters: Column, leaves: Column, threshold: Column) -> Column:

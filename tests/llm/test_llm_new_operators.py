@@ -180,3 +180,19 @@ def test_line_dedup_sql_strips_all_white_space(spark, tmp_path):
     got = sorted(map(tuple, df.select(*cols).collect()))
     assert got == sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({text_queries.SQL['op3_line_dedup']})").fetchall())
     assert {r[cols.index("doc_id")]: r[cols.index("n_dropped")] for r in got} == {1: 0, 2: 1, 3: 1, 4: 0, 5: 0}
+
+
+def test_secret_scan_is_linear_in_a_long_run(spark):
+    """A candidate run of 200,000 characters is scanned in about the time of its length, with one merged hot span."""
+    import time
+
+    from lakewarden.llm.secrets import find_secrets
+
+    rng = random.Random(2)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    run = "".join(rng.choice(alphabet) for _ in range(200_000))
+    data = spark.createDataFrame([(1, "data: " + run + " end"), (2, "x" * 200_000)], "doc_id bigint, text string")
+    start = time.perf_counter()
+    found = {r.doc_id: r.secrets for r in find_secrets(data).collect()}
+    assert time.perf_counter() - start < 120
+    assert any(m["end"] - m["start"] >= 199_000 for m in found[1]) and not found[2]
