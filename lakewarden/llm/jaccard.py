@@ -14,8 +14,7 @@ difference at all, hence equal content; at least s + 1 of those hold shingles un
 the sets leaves more than s segments empty. So every node emits a key for each non-empty
 segment (layout, segment, count, content hash); a sparse node (more than s empty segments)
 emits its empty ones too, so that two sparse nodes still meet. Nodes on one key are
-candidates: within a key, pairs are formed in blocks of at most BLOCK nodes, so a key held
-by thousands of nodes is spread over many tasks. Candidates pass the sketch test (Hamming
+candidates (see ``candidates``). Candidates pass the sketch test (Hamming
 distance at most k) and are verified on the full sets.
 
 Components come from the verified links between nodes (large-star and small-star rounds), and
@@ -69,130 +68,187 @@ def layout(j: int) -> tuple[int, int]:
     return k, k + 1 + slack
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(id, n, fp1, fp2, set): sorted distinct shingle hashes (as signed longs) of every row."""
+def _set(body: bytes) -> np.ndarray:
+    return np.unique(shingle_hashes(word_hashes(body)))
+
+
+def _node(h: np.ndarray) -> int | None:
+    """The set's 64-bit fingerprint (signed); none for the empty set."""
+    return xxhash.xxh3_64_intdigest(h.tobytes(), seed=len(h)) - (1 << 63) if len(h) else None
+
+
+def _segments(h: np.ndarray, j: int) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+    """(k, m, counts, content hashes, parity words) of set ``h`` under layout j."""
+    k, m = layout(j)
+    mixed = mix(h ^ np.uint64((0x2545F4914F6CDD1D * (j + 1)) & _MASK))
+    seg = (mixed % np.uint64(m)).astype(np.int64)
+    parity = np.zeros(m, np.uint64)
+    content = np.zeros(m, np.uint64)
+    np.bitwise_xor.at(parity, seg, np.left_shift(np.uint64(1), mixed >> np.uint64(58)))
+    np.bitwise_xor.at(content, seg, mix(h + _SALT))
+    return k, m, np.bincount(seg, minlength=m), content, parity
+
+
+def _keys(h: np.ndarray) -> tuple[list[int], list[int]]:
+    """(layouts, keys): one 64-bit key per non-empty segment (all segments of a sparse set) in both layouts of its band."""
+    layouts, keys = [], []
+    own = band(len(h))
+    for j in (own - 1, own):
+        if j < 0:
+            continue
+        k, m, counts, content, _ = _segments(h, j)
+        chosen = np.arange(m) if int((counts == 0).sum()) > m - k - 1 else np.flatnonzero(counts)
+        tag = (chosen.astype(np.uint64) << np.uint64(24)) ^ counts[chosen].astype(np.uint64) ^ (np.uint64(j) << np.uint64(56))
+        keys.extend(mix(content[chosen] ^ mix(tag + _SALT)).view(np.int64).tolist())
+        layouts.extend([j] * len(chosen))
+    return layouts, keys
+
+
+def members(docs: DataFrame) -> DataFrame:
+    """(id, node, n) of every row with a non-null id: node is the set's fingerprint (null if empty)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = batch.column("id").to_pylist()
-        sets, sizes, fp1, fp2 = [], [], [], []
+        nodes, sizes = [], []
         for body in batch.column("body").to_pylist():
-            s = np.unique(shingle_hashes(word_hashes(body)))
-            sets.append(s.view(np.int64))
-            sizes.append(len(s))
-            raw = s.tobytes()
-            fp1.append(xxhash.xxh64_intdigest(raw, seed=1) - (1 << 63))
-            fp2.append(xxhash.xxh64_intdigest(raw, seed=2) - (1 << 63))
-        offsets = np.zeros(len(sets) + 1, np.int32)
-        np.cumsum(sizes, out=offsets[1:])
-        values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()),
-             pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))],
-            ["id", "n", "fp1", "fp2", "set"],
-        )
+            h = _set(body)
+            nodes.append(_node(h))
+            sizes.append(len(h))
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())], ["id", "node", "n"])
 
-    return arrow_pass(ids_and_bytes(docs), run, "id bigint, n bigint, fp1 bigint, fp2 bigint, set array<bigint>")
+    return arrow_pass(ids_and_bytes(docs), run, "id bigint, node bigint, n bigint")
 
 
-def segment_keys(nodes: DataFrame) -> DataFrame:
-    """Key rows (node, layout, seg, cnt, content) and sketch rows (node, layout, seg = -1, cnt = k, sketch), in one pass."""
+def segment_keys(docs: DataFrame) -> DataFrame:
+    """(key, node) for every row; the key holds its layout. Copies of one set give equal rows."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = {"node": [], "layout": [], "seg": [], "cnt": [], "content": [], "sketch": []}
-        for node, values in zip(batch.column("node").to_pylist(), batch.column("set").to_numpy(zero_copy_only=False)):
-            h = np.asarray(values, np.int64).view(np.uint64)
+        out_keys, out_nodes = [], []
+        for body in batch.column("body").to_pylist():
+            h = _set(body)
             if not len(h):
                 continue
-            own = band(len(h))
-            for j in (own - 1, own):
-                if j < 0:
-                    continue
-                k, m = layout(j)
-                mixed = mix(h ^ np.uint64((0x2545F4914F6CDD1D * (j + 1)) & _MASK))
-                seg = (mixed % np.uint64(m)).astype(np.int64)
-                bit = np.left_shift(np.uint64(1), (mixed >> np.uint64(58)))
-                parity = np.zeros(m, np.uint64)
-                content = np.zeros(m, np.uint64)
-                np.bitwise_xor.at(parity, seg, bit)
-                np.bitwise_xor.at(content, seg, mix(h + _SALT))
-                counts = np.bincount(seg, minlength=m)
-                sparse = int((counts == 0).sum()) > m - k - 1
-                chosen = np.arange(m) if sparse else np.flatnonzero(counts)
-                out["node"].extend([node] * len(chosen))
-                out["layout"].extend([j] * len(chosen))
-                out["seg"].extend(chosen.tolist())
-                out["cnt"].extend(counts[chosen].tolist())
-                out["content"].extend(content[chosen].view(np.int64).tolist())
-                out["sketch"].extend([None] * len(chosen))
-                out["node"].append(node)
-                out["layout"].append(j)
-                out["seg"].append(-1)
-                out["cnt"].append(k)
-                out["content"].append(0)
-                out["sketch"].append(parity.view(np.int64))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(out["node"], pa.int64()), pa.array(out["layout"], pa.int32()), pa.array(out["seg"], pa.int32()),
-             pa.array(out["cnt"], pa.int32()), pa.array(out["content"], pa.int64()),
-             pa.array([None if s is None else s.tolist() for s in out["sketch"]], pa.list_(pa.int64()))],
-            ["node", "layout", "seg", "cnt", "content", "sketch"],
-        )
+            _, keys = _keys(h)
+            out_keys.extend(keys)
+            out_nodes.extend([_node(h)] * len(keys))
+        return pa.RecordBatch.from_arrays([pa.array(out_keys, pa.int64()), pa.array(out_nodes, pa.int64())], ["key", "node"])
+
+    return arrow_pass(ids_and_bytes(docs), run, "key bigint, node bigint")
+
 
-    return arrow_pass(nodes.select("node", "set"), run, "node bigint, layout int, seg int, cnt int, content bigint, sketch array<bigint>")
+#: Keys held by three or more rows that are broadcast to pick their members, at most; beyond, a join.
+MAX_BROADCAST_KEYS = 2_000_000
 
 
-def candidates(keys: DataFrame) -> DataFrame:
-    """Distinct (layout, a, b), a < b, of nodes sharing a key; keys held by many nodes are paired block by block.
+def candidates(docs: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of nodes sharing a key.
 
-    A key with c nodes is dealt into B = ceil(c / BLOCK) blocks by a hash of the node; each node
-    is sent to the B block pairs it takes part in, so a block pair meets in its own task.
+    One aggregate per key, in one exchange, gives its rows and its least and greatest
+    node: a key of two rows and two nodes is a pair at once, one whose least and
+    greatest node agree holds copies of one set only. Keys of three or more rows and two
+    or more nodes are few; their nodes are found by a second key pass joined to them
+    (broadcast after a size check), dealt into blocks of at most BLOCK nodes, and paired
+    block by block, so a key held by thousands of nodes is spread over many tasks.
     """
-    key = ["layout", "seg", "cnt", "content"]
-    sizes = keys.groupBy(*key).agg(F.count("*").alias("c")).where("c > 1")
-    dealt = keys.join(sizes, key).select(
-        *key, "node", F.greatest(F.lit(1), F.ceil(F.col("c") / F.lit(BLOCK))).cast("int").alias("blocks"),
-    ).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    sent = dealt.select(*key, "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        *key, "node", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+    counted = pinned(
+        segment_keys(docs).groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("a"), F.max("node").alias("b"))
+        .where(F.col("a") != F.col("b")),
+        "jaccard-shared",
     )
-    left = sent.select(*key, "lo", "hi", F.col("node").alias("a"), F.col("block").alias("block_a"))
-    right = sent.select(*key, "lo", "hi", F.col("node").alias("b"), F.col("block").alias("block_b"))
-    pairs = left.join(right, [*key, "lo", "hi"]).where(
-        (F.col("a") < F.col("b"))
-        & (((F.col("block_a") == F.col("lo")) & (F.col("block_b") == F.col("hi"))) | ((F.col("block_a") == F.col("hi")) & (F.col("block_b") == F.col("lo"))))
-    )
-    return pairs.groupBy("a", "b").agg(F.min("layout").alias("layout"))
+    pairs = counted.where("c = 2").select("a", "b")
+    multi = counted.where("c > 2").select("key", F.greatest(F.lit(1), F.ceil(F.col("c") / F.lit(BLOCK))).cast("int").alias("blocks"))
+    n_multi = multi.count()
+    _release(docs.sparkSession)
+    if n_multi:
+        side = F.broadcast(multi) if n_multi <= MAX_BROADCAST_KEYS else multi
+        dealt = segment_keys(docs).join(side, "key").distinct().withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        sent = dealt.select("key", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+            "key", "node", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+        )
+        left = sent.select("key", "lo", "hi", F.col("node").alias("a"), F.col("block").alias("block_a"))
+        right = sent.select("key", "lo", "hi", F.col("node").alias("b"), F.col("block").alias("block_b"))
+        more = left.join(right, ["key", "lo", "hi"]).where(
+            (F.col("a") < F.col("b"))
+            & (((F.col("block_a") == F.col("lo")) & (F.col("block_b") == F.col("hi"))) | ((F.col("block_a") == F.col("hi")) & (F.col("block_b") == F.col("lo"))))
+        )
+        pairs = pairs.unionByName(more.select("a", "b"))
+    return pairs.distinct()
 
 
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, nodes, links): members (id, node, n) of each row, nodes (node, n, set), verified links (a, b) between nodes."""
-    rows = pinned(shingle_sets(docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).withColumnRenamed(id_col, "doc_id").withColumnRenamed(text_col, "text")), "jaccard-sets")
-    node = F.when(F.col("n") > 0, F.xxhash64("fp1", "fp2", "n"))
-    members = rows.select("id", node.alias("node"), "n").distinct()
-    nodes = pinned(
-        rows.where("n > 0").groupBy(node.alias("node"), "fp1", "fp2").agg(F.first("n").alias("n"), F.first("set").alias("set")).drop("fp1", "fp2"),
-        "jaccard-nodes",
-    )
-    keyed = pinned(segment_keys(nodes), "jaccard-keys")
-    keys = keyed.where("seg >= 0").select("node", "layout", "seg", "cnt", "content")
-    sketches = keyed.where("seg < 0").select("node", "layout", F.col("cnt").alias("k"), "sketch")
-    pairs = pinned(candidates(keys), "jaccard-candidates")
-    with_sketch = pairs.join(sketches.select(F.col("node").alias("a"), "layout", "k", F.col("sketch").alias("sa")), ["a", "layout"]).join(
-        sketches.select(F.col("node").alias("b"), "layout", F.col("sketch").alias("sb")), ["b", "layout"],
-    )
-    distance = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    near = with_sketch.where(distance <= F.col("k")).select("a", "b")
-    sets = nodes.select("node", "n", "set")
-    checked = near.join(sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("set").alias("set_a")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("set").alias("set_b")), "b",
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) of candidate pairs whose parity sketches are within k and whose full sets link.
+
+    The layout is that of the smaller set's band (valid for both); sets are made once
+    for each node a task meets.
+    """
+    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b",
     )
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    links = checked.where(both * 100 >= (F.col("na") + F.col("nb") - both) * PERCENT).select("a", "b")
-    return members, nodes, pinned(links, "jaccard-links")
+    made: dict[int, np.ndarray] = {}
+
+    def set_of(node: int, body: bytes) -> np.ndarray:
+        if node not in made:
+            if len(made) >= 4096:
+                made.clear()
+            made[node] = _set(body)
+        return made[node]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep_a, keep_b = [], []
+        for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "body_a", "body_b"))):
+            ha, hb = set_of(a, x), set_of(b, y)
+            j = min(band(len(ha)), band(len(hb)))
+            k, _, _, _, pa_ = _segments(ha, j)
+            _, _, _, _, pb_ = _segments(hb, j)
+            if int(np.unpackbits((pa_ ^ pb_).view(np.uint8)).sum()) > k:
+                continue
+            both = len(np.intersect1d(ha, hb, assume_unique=True))
+            if both * 100 >= (len(ha) + len(hb) - both) * PERCENT:
+                keep_a.append(a)
+                keep_b.append(b)
+        return pa.RecordBatch.from_arrays([pa.array(keep_a, pa.int64()), pa.array(keep_b, pa.int64())], ["a", "b"])
+
+    return arrow_pass(joined.select("a", "b", "body_a", "body_b"), run, "a bigint, b bigint")
+
+
+def _own_texts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows whose text has the node's set: an id with several texts brings all of them."""
+    nodes, bodies = batch.column("node").to_pylist(), batch.column("body").to_pylist()
+    keep = [i for i, (n, b) in enumerate(zip(nodes, bodies)) if _node(_set(b)) == n]
+    return batch.take(pa.array(keep, pa.int64()))
+
+
+def _release(spark) -> None:
+    """Let the driver's JVM collect what the written stages no longer need, so that Spark's
+    cleaner deletes their shuffle files now rather than at its periodic collection."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(members, links): members (id, node, n) of each row, verified links (a, b) between nodes.
+
+    Sets are never stored: keys are made in a pass that feeds one aggregate, and the
+    texts of candidate nodes only (one row each, the smallest id) are read again for the
+    sketch test and the exact check.
+    """
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    held = pinned(members(rows), "jaccard-members")
+    pairs = pinned(candidates(rows), "jaccard-candidates")
+    _release(docs.sparkSession)
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    heads = pinned(held.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("id")).join(wanted, "node"), "jaccard-heads")
+    side = F.broadcast(heads) if heads.count() <= MAX_BROADCAST_KEYS else heads
+    fetched = ids_and_bytes(rows).join(side, "id").select("node", "body")
+    texts = pinned(arrow_pass(fetched, _own_texts, "node bigint, body binary").dropDuplicates(["node"]), "jaccard-texts")
+    _release(docs.sparkSession)
+    links = pinned(verify(pairs, texts), "jaccard-links")
+    _release(docs.sparkSession)
+    return held, links
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component, n_links), one row per distinct id."""
-    members, _, links = jaccard_links(docs, id_col, text_col)
+    held, links = jaccard_links(docs, id_col, text_col)
+    members = held
     # Copies of one set and sets of one id are tied through the smallest id on the node.
     heads = members.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("head"), F.countDistinct("id").alias("ids"))
     tied = members.where(F.col("node").isNotNull()).join(heads, "node").select(F.col("id").alias("a"), F.col("head").alias("b"))
