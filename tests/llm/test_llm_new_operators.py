@@ -196,3 +196,29 @@ def test_secret_scan_is_linear_in_a_long_run(spark):
     found = {r.doc_id: r.secrets for r in find_secrets(data).collect()}
     assert time.perf_counter() - start < 120
     assert any(m["end"] - m["start"] >= 199_000 for m in found[1]) and not found[2]
+
+
+def test_jaccard_prefix_keys(spark):
+    """A set emits a fifth of its shingles, frequent ones last; linked sets share a key; texts travel to buckets, not to pairs."""
+    import numpy as np
+
+    from lakewarden.llm import jaccard as jc
+
+    rng = np.random.default_rng(4)
+    none = np.zeros(0, np.uint64)
+    common = np.sort(rng.integers(0, 1 << 63, 300).astype(np.uint64))
+    ranks = rng.integers(1, 4, 300)
+    for n in (1, 2, 4, 5, 9, 60, 333):
+        a = np.unique(np.concatenate([rng.choice(common, n // 2, replace=False) if n < 600 else common, rng.integers(0, 1 << 63, n - n // 2).astype(np.uint64)]))
+        for order in ((none, none), (common, ranks)):
+            key = jc.prefix(a, *order)
+            assert len(key) == len(a) + (-80 * len(a) // 100) + 1 <= 0.2 * len(a) + 1
+            drop = max(0, len(a) - -(-80 * len(a) // 100))
+            for _ in range(5):
+                b = np.sort(rng.choice(a, len(a) - drop, replace=False))  # the least subset that can link
+                assert len(np.intersect1d(key, jc.prefix(b, *order)))
+    assert not np.isin(jc.prefix(np.unique(np.concatenate([common[:100], rng.integers(0, 1 << 63, 200).astype(np.uint64)])), common, ranks), common).any()
+    base = [f"w{k}" for k in range(80)]
+    rows = [(i, " ".join(base[:70] + [f"x{i}"]), None, None, 0) for i in range(40)]
+    found, links = jc.jaccard_links(spark.createDataFrame(rows, SCHEMA))
+    assert links.count() == 40 * 39 // 2 and found.count() == 40
