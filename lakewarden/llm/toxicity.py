@@ -146,12 +146,11 @@ def _row_terms(body: bytes) -> set[str]:
 
 
 def _supports(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """(term, toxic, clean): rows of the batch of each label that have the term; "#" counts rows."""
+    """(term, toxic, clean): rows of the batch of each label that have the term."""
     counts: Counter = Counter()
     for body, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
         side = int(label > 0)
         counts.update((t, side) for t in _row_terms(body))
-        counts[("#", side)] += 1
     terms = sorted({t for t, _ in counts})
     return pa.RecordBatch.from_arrays(
         [pa.array(terms, pa.string()), pa.array([counts[(t, 1)] for t in terms], pa.int64()), pa.array([counts[(t, 0)] for t in terms], pa.int64())],
@@ -180,23 +179,32 @@ def _spark_log_ratio(a: Column, n: Column, b: Column, m: Column) -> Column:
 def learn_terms(sample: DataFrame) -> dict[str, tuple[float, float]]:
     """{term: (weight as a word, weight as a beginning)} from (id, body, label) rows.
 
-    Toxic and clean support of every word and beginning of the sample is counted in one
-    grouped job; the ratio and weight tests run in Spark, and only the terms that pass,
-    and listed words that clean rows use more, reach the driver.
+    Toxic support of every word and beginning of the sample is counted first; clean rows
+    are counted only for terms that enough toxic rows have, and for listed words, the only
+    ones that can pass. The ratio and weight tests run in Spark, and only the terms that
+    pass, and listed words that clean rows use more, reach the driver.
     """
-    supports = arrow_pass(sample.select("body", "label"), _supports, "term string, toxic bigint, clean bigint").groupBy("term").agg(
-        F.sum("toxic").alias("a"), F.sum("clean").alias("b"),
-    )
-    totals = supports.where(F.col("term") == "#").first()
+    totals = sample.agg(F.count_if(F.col("label") > 0).alias("a"), F.count_if(F.col("label") <= 0).alias("b")).first()
     weights: dict[str, list[float]] = {s: [SEED_WEIGHT, 0.0] for s in SEEDS}
-    toxic, clean = (totals["a"], totals["b"]) if totals else (0, 0)
+    toxic, clean = totals["a"], totals["b"]
     if not toxic or not clean:
         return {t: tuple(w) for t, w in weights.items()}
     a, b, n, m = F.col("a"), F.col("b"), F.lit(float(toxic)), F.lit(float(clean))
     weight = F.log((a + 0.5) / (n - a + 0.5)) - F.log((b + 0.5) / (m - b + 0.5))
     kept = (a >= MIN_ROWS) & (a / n > b / m) & (weight >= MIN_WEIGHT) & (_spark_log_ratio(a, n, b, m) >= MIN_RATIO)
-    listed = F.col("term").isin(["=" + s for s in SEEDS])
-    found = supports.where((F.col("term") != "#") & (kept | listed)).select(
+    listed = ["=" + s for s in SEEDS]
+
+    def support(rows: DataFrame, side: str) -> DataFrame:
+        return arrow_pass(rows.select("body", "label"), _supports, "term string, toxic bigint, clean bigint").select("term", F.col(side).alias("n"))
+
+    in_toxic = support(sample.where("label > 0"), "toxic").groupBy("term").agg(F.sum("n").alias("a"))
+    names = sample.sparkSession.range(1).select(F.explode(F.array(*[F.lit(t) for t in listed])).alias("term"), F.lit(0).cast("bigint").alias("a"))
+    tried = pinned(
+        in_toxic.where((a >= MIN_ROWS) | F.col("term").isin(listed)).unionByName(names).groupBy("term").agg(F.sum("a").alias("a")), "toxic-terms",
+    )
+    in_clean = support(sample.where("label <= 0"), "clean").join(F.broadcast(tried.select("term")), "term").groupBy("term").agg(F.sum("n").alias("b"))
+    supports = tried.join(in_clean, "term", "left").select("term", "a", F.coalesce("b", F.lit(0)).alias("b"))
+    found = supports.where(kept | F.col("term").isin(listed)).select(
         "term", "a", "b", kept.alias("kept"), F.least(weight, F.lit(MAX_WEIGHT)).alias("weight"),
     )
     for row in found.collect():

@@ -555,3 +555,19 @@ def test_spans_of_fused_passages_and_tails(spark):
         found = {(a, b) for a in range(len(sizes)) for b in range(a + 1, len(sizes) + 1) if whole(a, b)}
         expected = {(a, b - a) for a, b in found if not any((a, c) in found for c in range(a, b)) or not any((c, b) in found for c in range(a + 1, b))}
         assert [s[:2] for s in spans(" ".join(fresh(n) + "." for n in sizes).encode())] == sorted(expected)
+
+
+def test_lexicon_counts_clean_rows_for_possible_terms_only(spark, monkeypatch):
+    """Terms of too few toxic rows are not counted in clean rows, and rows are not counted by a pass over the texts."""
+    import pyarrow as pa
+
+    from lakewarden.llm import toxicity as tx
+
+    batch = pa.RecordBatch.from_arrays([pa.array([b"only clean words"], pa.binary()), pa.array([0], pa.int32())], names=["body", "label"])
+    assert "#" not in tx._supports(batch).column("term").to_pylist()
+    kept = []
+    monkeypatch.setattr(tx, "pinned", lambda df, name: kept.append((name, {r.term for r in df.collect()})) or df)
+    rows = [(k, (f"clean{'abc'[k % 3]}ish words" if k % 2 else f"sour{'ab'[k // 2 % 2]}ness words").encode(), 1 - k % 2) for k in range(60)]
+    tx.learn_terms(spark.createDataFrame(rows, "id bigint, body binary, label int"))
+    assert [name for name, _ in kept] == ["toxic-terms"]
+    assert {"=souraness", "=words", "=idiot"} <= kept[0][1] and not any("clean" in t for t in kept[0][1])
