@@ -24,6 +24,8 @@ SOUND_BONUS = 0.05
 PROBABLE = 0.90
 
 SMALL_LIST_ROWS = 20_000
+#: Pieces of a longer list that are broadcast to meet the names where they lie, at most.
+MAX_BROADCAST_PIECES = 500_000
 
 
 def _reach(floor: float) -> float:
@@ -53,7 +55,9 @@ def _by_piece(names: DataFrame, listed: DataFrame, share: float) -> DataFrame:
     """Candidates that share one unedited piece at a position the edits allow.
 
     The bound depends on both lengths, so pieces are cut per (list length, name
-    length) pair; only pairs of lengths that occur are enumerated.
+    length) pair; only pairs of lengths that occur are enumerated, and these few shapes
+    are broadcast, as most names may have one length. Counted pieces are broadcast too,
+    so that the probes of a name are made and compared where the name lies.
     """
     size = F.length("w_low")
     shortest, longest = _lengths(size, share)
@@ -73,19 +77,20 @@ def _by_piece(names: DataFrame, listed: DataFrame, share: float) -> DataFrame:
     first = F.greatest(F.lit(0), F.col("start") - F.col("edits"))
     last = F.least(F.col("len") - F.col("width"), F.col("start") + F.col("edits"))
     probes = (
-        names.join(shapes, "len")
+        names.join(F.broadcast(shapes), "len")
         .filter(last >= first)
         .withColumn("at", F.explode(F.sequence(first, last)))
         .select(
             *names.columns, "w_len", "piece",
             F.col("e_low").substr(F.col("at") + 1, F.col("width")).alias("text"),
         )
-        .distinct()
-    )
-    hits = probes.join(
-        pieces.select(*listed.columns, "len", "w_len", "piece", "text"),
-        ["len", "w_len", "piece", "text"],
     )
+    cut = pieces.select(*listed.columns, "len", "w_len", "piece", "text")
+    if cut.limit(MAX_BROADCAST_PIECES + 1).count() <= MAX_BROADCAST_PIECES:
+        cut = F.broadcast(cut)
+    else:
+        probes = probes.distinct()
+    hits = probes.join(cut, ["len", "w_len", "piece", "text"])
     return hits.select(*names.columns, *listed.columns).distinct()
 
 

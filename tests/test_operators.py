@@ -261,3 +261,27 @@ def test_ivf_index_reaches_its_recall(spark):
     got = ivf_topk(queries, df, 3, fitted, probes, block_rows=50)
     assert recall_at_k(got, vector_topk(queries, df, 3)) >= 0.95
     assert got.select("query_id").distinct().count() == queries.count()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_watchlist_meets_names_without_a_shuffle_of_probes(spark):
+    """Names of one length are probed where they lie: no exchange by length or piece text; both joins find the same."""
+    from lakewarden.operators import screening
+
+    people = spark.createDataFrame(
+        [(f"E{k}", f"S{k}", "customer", f"Customer#{k:09d}", "ZA") for k in range(40)]
+        + [("E90", "S90", "third_party", "small ring", "ZA"), ("E91", "S91", "third_party", "smal rings", "ZA")],
+        "entity_id string, source_id string, party_type string, full_name string, country string",
+    )
+    listed = spark.createDataFrame(
+        [(f"W{i}", name, "sanctions", "x", "y", "z") for i, name in enumerate(["small ring", "customer#000000007", "red widget"])],
+        "watchlist_id string, watch_name string, list_type string, list_source string, reason string, severity string",
+    )
+    pieces = screening.screen_names(people, listed, small_list_rows=1)
+    whole = screening.screen_names(people, listed)
+    assert sorted(map(tuple, pieces.collect())) == sorted(map(tuple, whole.collect())) and pieces.count() > 1
+    plan = _plan(pieces)
+    assert not [line for line in plan.splitlines() if "hashpartitioning(len#" in line and "w_low" not in line]
