@@ -285,3 +285,25 @@ def test_long_watchlist_meets_names_without_a_shuffle_of_probes(spark):
     assert sorted(map(tuple, pieces.collect())) == sorted(map(tuple, whole.collect())) and pieces.count() > 1
     plan = _plan(pieces)
     assert not [line for line in plan.splitlines() if "hashpartitioning(len#" in line and "w_low" not in line]
+
+
+def test_mentions_are_picked_before_the_shuffle(spark):
+    """Only mentions of an entity are shuffled; a list beyond the bound gives the same rows."""
+    from lakewarden.plans import detectors
+
+    parties = spark.createDataFrame(
+        [("E1", "S1", "customer", "alpha"), ("E2", "S2", "third_party", "beta"), ("E3", "S3", "customer", None), ("E4", "S4", "customer", "alpha")],
+        "entity_id string, source_id string, party_type string, full_name string",
+    )
+    media = spark.createDataFrame(
+        [("A1", "h", ["alpha", "gamma", "alpha"]), ("A2", "h", ["beta", None]), ("A3", "h", None)], "article_id string, headline string, named_entities array<string>",
+    )
+    found = detectors.media_matches(parties, media)
+    assert "LeftSemi" in _plan(found)
+    bound, detectors.MAX_BROADCAST_NAMES = detectors.MAX_BROADCAST_NAMES, 1
+    try:
+        plain = detectors.media_matches(parties, media)
+        assert "LeftSemi" not in _plan(plain)
+        assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect())) and found.count() == 3
+    finally:
+        detectors.MAX_BROADCAST_NAMES = bound
