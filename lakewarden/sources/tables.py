@@ -25,8 +25,16 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def land_documents(docs: DataFrame, path: str, key: str, text: str) -> None:
-    """Write each row's text as a text file of its own, in a folder ``key=value``."""
-    docs.select(F.col(key), F.col(text).alias("value")).write.partitionBy(key).text(path)
+    """Write each row's text as a text file of its own, in a folder ``key=value``.
+
+    Tasks move their own files when they end; by default the driver would move
+    every file, one after the other, after the last task.
+    """
+    (
+        docs.select(F.col(key), F.col(text).alias("value")).write
+        .option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+        .partitionBy(key).text(path)
+    )
 
 
 def values_df(spark: SparkSession, rows: Iterable[tuple], schema: T.StructType | str) -> DataFrame:

@@ -307,3 +307,33 @@ def test_mentions_are_picked_before_the_shuffle(spark):
         assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect())) and found.count() == 3
     finally:
         detectors.MAX_BROADCAST_NAMES = bound
+
+
+def test_documents_are_landed_by_the_tasks(spark, tmp_path):
+    """Files are moved by the tasks that wrote them; every text comes back whole."""
+    from lakewarden.sources import tables
+
+    options = {}
+
+    class Writer:
+        def option(self, key, value):
+            options[key] = value
+            return self
+
+        def partitionBy(self, *_):
+            return self
+
+        def text(self, _path):
+            return None
+
+    class Docs:
+        write = Writer()
+
+        def select(self, *_):
+            return self
+
+    tables.land_documents(Docs(), "x", "doc_id", "text")
+    assert options["mapreduce.fileoutputcommitter.algorithm.version"] == "2"
+    docs = spark.createDataFrame([(1, "a\nb"), (2, ""), (3, None), (4, "é \r\n x")], "doc_id bigint, text string")
+    tables.land_documents(docs, str(tmp_path / "landed"), "doc_id", "text")
+    assert sorted(r.doc_text for r in tables.read_documents(spark, str(tmp_path / "landed" / "*")).collect()) == sorted(["a\nb\n", "\n", "\n", "é \r\n x\n"])
