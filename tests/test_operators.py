@@ -337,3 +337,13 @@ def test_documents_are_landed_by_the_tasks(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a\nb"), (2, ""), (3, None), (4, "é \r\n x")], "doc_id bigint, text string")
     tables.land_documents(docs, str(tmp_path / "landed"), "doc_id", "text")
     assert sorted(r.doc_text for r in tables.read_documents(spark, str(tmp_path / "landed" / "*")).collect()) == sorted(["a\nb\n", "\n", "\n", "é \r\n x\n"])
+
+
+def test_parts_are_small_enough_to_sort_in_memory(spark):
+    """One scan split or shuffle part stays at 16 MB, and small files are not held for 4 MB each."""
+    from lakewarden.session import configure
+
+    configure(spark)
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "16m"
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == "64k"
