@@ -222,3 +222,26 @@ def test_jaccard_prefix_keys(spark):
     rows = [(i, " ".join(base[:70] + [f"x{i}"]), None, None, 0) for i in range(40)]
     found, links = jc.jaccard_links(spark.createDataFrame(rows, SCHEMA))
     assert links.count() == 40 * 39 // 2 and found.count() == 40
+
+
+def test_jaccard_far_candidates_drop_before_their_texts(spark):
+    """Short sketches never exceed the sets' difference, and pairs on one key but far apart fetch no text."""
+    import numpy as np
+
+    from lakewarden.llm import jaccard as jc
+
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 17, 64, 65, 300, 40_000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for drop, more in ((0, 0), (n // 10, n // 9), (n, n), (0, 3 * n)):
+            b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 63, more + 1).astype(np.uint64)]))
+            assert jc.apart(jc.short_sketch(a), jc.short_sketch(b)) <= len(np.setxor1d(a, b))
+    head = [f"w{k}" for k in range(30)]
+    far = [(i, " ".join(head + [f"x{i}_{k}" for k in range(40)]), None, None, 0) for i in range(30)]
+    twins = [(100 + i, " ".join([f"y{k}" for k in range(90)] + [f"z{i}"]), None, None, 0) for i in range(2)]
+    rows = spark.createDataFrame(far + twins, SCHEMA)
+    none = np.zeros(0, np.uint64)
+    sets = jc.described(rows, none, none).cache()
+    pairs = jc.candidates(sets).cache()
+    assert pairs.count() > 100
+    assert jc.near(pairs, sets).count() == 1 == jc.jaccard_links(rows)[1].count()
