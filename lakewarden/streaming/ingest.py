@@ -34,14 +34,16 @@ def _lane(lines: DataFrame, schema: T.StructType, stamp: Column | None) -> DataF
     misfits = F.array(*[
         F.when(raw[f.name].isNotNull() & typed[f.name].isNull(), F.lit(f.name)) for f in fields
     ])
-    rescued = F.map_filter(
-        "_map", lambda k, _v: ~F.array_contains(known, k) | F.coalesce(F.array_contains(F.array_compact(misfits), k), F.lit(False))
+    # named once a row, not once for each key of its map: few rows have any
+    odd = F.concat(F.array_except(F.map_keys("_map"), known), F.array_compact(misfits))
+    good = lines.filter(F.col("_map").isNotNull()).select(
+        *[c.alias(n) for n, c in typed.items()], "_map", odd.alias("_odd")
     )
-    good = lines.filter(F.col("_map").isNotNull())
+    rescued = F.map_filter("_map", lambda k, _v: F.array_contains("_odd", k))
     return good.select(
-        *[c.alias(n) for n, c in typed.items()],
+        *typed,
         (F.current_timestamp() if stamp is None else stamp).alias(_INGESTED),
-        F.when(F.size(rescued) > 0, F.to_json(rescued)).alias("_rescued"),
+        F.when(F.size("_odd") > 0, F.to_json(rescued)).alias("_rescued"),
     )
 
 

@@ -152,3 +152,27 @@ def test_incremental_families_equal_batch_after_corrections(spark, tmp_path, acc
     assert [a[4] for a in got if a[0] == "ALRT-DORM-A2"] == [("s7",)] and not any(a[0] == "ALRT-DORM-A1" for a in got)
     index = spark.read.parquet(f"{root}/index")
     assert index.where("batch_id = -1").count() == 5 and index.where("batch_id >= 0").count() == 9
+
+
+def test_lane_names_odd_values_once_a_row(spark):
+    """Unknown and misfit values are rescued; the casts are not repeated for every key of a row's map."""
+    from lakewarden import schemas
+    from lakewarden.streaming import ingest
+
+    lines = spark.createDataFrame(
+        [('{"transaction_id":"T1","amount":"2.5"}',), ('{"transaction_id":"T2","amount":"x","extra":"1"}',),
+         ('{"transaction_id":"T3","amount":null,"txn_ts":"2024-01-01 00:00:00"}',), ("{}",), ("no json",)], "value string",
+    ).withColumn("_map", F.from_json("value", "map<string,string>"))
+    lane = ingest._lane(lines, schemas.TRANSACTIONS, F.lit("2024-02-01").cast("timestamp"))
+    assert lane.columns == [f.name for f in schemas.TRANSACTIONS if f.name != "_ingested_at"] + ["_ingested_at", "_rescued"]
+    got = {(r.transaction_id, r.amount, r._rescued) for r in lane.collect()}
+    assert got == {("T1", 2.5, None), ("T2", None, '{"amount":"x","extra":"1"}'), ("T3", None, None), (None, None, None)}
+    for tail in lane._jdf.queryExecution().optimizedPlan().toString().split("map_filter(")[1:]:
+        depth = 1
+        body = ""
+        for ch in tail:
+            depth += (ch == "(") - (ch == ")")
+            if not depth:
+                break
+            body += ch
+        assert "cast" not in body
