@@ -11,7 +11,7 @@ remains for the case lifecycle, which cuts by time on purpose.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -117,30 +117,42 @@ def carry_last(
     source = F.lit(True) if where is None else where
     frame_end = 0 if include_current else -1
     marked = df.withColumn("_src", F.when(source, F.struct(value.alias("v"))))
-    plain = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, frame_end)
+    window = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, frame_end)
+
+    def plain(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_near", F.last("_src", ignorenulls=True).over(window))
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        return _sliced_carry(_numbered(rows, keys, order, policy), keys, order, frame_end)
+
+    done = _by_heat(marked, keys, policy, plain, sliced)
+    return done.withColumn(out, F.col("_near")["v"]).drop("_near", "_src")
+
+
+def _numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str], policy: SkewPolicy) -> DataFrame:
+    return row_index(rows, [*keys, *order], "_pos").withColumn("_slice_rows", F.lit(policy.slice_rows))
+
+
+def _by_heat(
+    df: DataFrame, keys: Sequence[str], policy: SkewPolicy,
+    plain: Callable[[DataFrame], DataFrame], sliced: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """Rows of cold keys through ``plain``, those of hot keys through ``sliced``."""
     hot = (
-        marked.groupBy(*[F.col(k).alias(f"{k}_h") for k in keys])
+        df.groupBy(*[F.col(k).alias(f"{k}_h") for k in keys])
         .agg(F.count("*").alias("_rows"))
         .filter(F.col("_rows") >= policy.hot_rows)
         .select(*[f"{k}_h" for k in keys])
     )
     n_hot = hot.count()
-
-    def sliced(rows: DataFrame) -> DataFrame:
-        numbered = row_index(rows, [*keys, *order], "_pos").withColumn("_slice_rows", F.lit(policy.slice_rows))
-        return _sliced_carry(numbered, keys, order, frame_end)
-
     if n_hot == 0:
-        done = marked.withColumn("_near", F.last("_src", ignorenulls=True).over(plain))
-    elif n_hot > policy.max_hot_keys:
-        done = sliced(marked)
-    else:
-        flagged = marked.join(
-            F.broadcast(hot.withColumn(_HOT, F.lit(True))), _null_safe(marked, hot, keys), "left",
-        ).withColumn(_HOT, F.coalesce(F.col(_HOT), F.lit(False))).drop(*[f"{k}_h" for k in keys])
-        cold = flagged.filter(~F.col(_HOT)).withColumn("_near", F.last("_src", ignorenulls=True).over(plain))
-        done = cold.unionByName(sliced(flagged.filter(F.col(_HOT)))).drop(_HOT)
-    return done.withColumn(out, F.col("_near")["v"]).drop("_near", "_src")
+        return plain(df)
+    if n_hot > policy.max_hot_keys:
+        return sliced(df)
+    flagged = df.join(
+        F.broadcast(hot.withColumn(_HOT, F.lit(True))), _null_safe(df, hot, keys), "left",
+    ).withColumn(_HOT, F.coalesce(F.col(_HOT), F.lit(False))).drop(*[f"{k}_h" for k in keys])
+    return plain(flagged.filter(~F.col(_HOT))).unionByName(sliced(flagged.filter(F.col(_HOT)))).drop(_HOT)
 
 
 def previous(
@@ -150,13 +162,23 @@ def previous(
     columns: dict[str, str],
     policy: SkewPolicy = SkewPolicy(),
 ) -> DataFrame:
-    """``lag`` of several columns (``{output: input}``) under one ordering."""
+    """``lag`` of several columns (``{output: input}``) under one ordering.
+
+    Cold keys lag the columns themselves, so that a shuffled row holds no second copy of
+    them; hot keys carry them as one value, as ``carry_last`` does.
+    """
+    window = W.partitionBy(*keys).orderBy(*order)
     value = F.struct(*[F.col(src).alias(name) for name, src in columns.items()])
-    lagged = carry_last(df, keys, order, value, "_lag", policy=policy)
-    return lagged.select(
-        *[c for c in lagged.columns if c != "_lag"],
-        *[F.col("_lag")[name].alias(name) for name in columns],
-    )
+
+    def plain(rows: DataFrame) -> DataFrame:
+        return rows.select("*", *[F.lag(src).over(window).alias(name) for name, src in columns.items()])
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        marked = rows.withColumn("_src", F.struct(value.alias("v")))
+        near = _sliced_carry(_numbered(marked, keys, order, policy), keys, order, -1)
+        return near.select(*rows.columns, *[F.col("_near")["v"][name].alias(name) for name in columns])
+
+    return _by_heat(df, keys, policy, plain, sliced)
 
 
 def join_unique(

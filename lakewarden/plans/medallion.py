@@ -54,7 +54,10 @@ class Lake:
 
     @cached_property
     def ledger(self) -> DataFrame:
-        return self._saved("ledger", lambda: conform_transactions(self.roles.transactions()))
+        # each file in time order: a family that reads a window decodes only the pages of that window
+        return self._saved(
+            "ledger", lambda: conform_transactions(self.roles.transactions()).sortWithinPartitions("txn_ts")
+        )
 
     @cached_property
     def entities(self) -> DataFrame:

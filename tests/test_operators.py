@@ -347,3 +347,34 @@ def test_parts_are_small_enough_to_sort_in_memory(spark):
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "16m"
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
     assert spark.conf.get("spark.sql.files.openCostInBytes") == "64k"
+
+
+def _exchanged(node) -> list[list[str]]:
+    """Column names of every shuffle below a physical plan node."""
+    children = [node.children().apply(i) for i in range(node.children().size())]
+    below = [names for child in children for names in _exchanged(child)]
+    if node.nodeName() != "Exchange":
+        return below
+    return [[node.output().apply(i).name() for i in range(node.output().size())], *below]
+
+
+def _shuffles(df) -> list[list[str]]:
+    """Shuffles of a frame planned without broadcasts and adaptive wrapping."""
+    conf = df.sparkSession.conf
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: conf.get(k) for k in settings}
+    for k, v in settings.items():
+        conf.set(k, v)
+    try:
+        return _exchanged(df.select("*")._jdf.queryExecution().executedPlan())
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
+
+
+def test_lag_shuffles_no_second_copy_of_its_columns(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), (None, 1, "z")], "k string, t int, v string")
+    got = previous(df, ["k"], ["t"], {"p": "v"})
+    assert sorted(map(tuple, got.collect()), key=str) == [("a", 1, "x", None), ("a", 2, "y", "x"), (None, 1, "z", None)]
+    shuffled = _shuffles(got)
+    assert shuffled and all(set(names) <= {"k", "t", "v"} for names in shuffled)
