@@ -355,14 +355,21 @@ def case_evidence(
         "customer_id",
         F.struct("dynamic_risk", "risk_band", "edd_review_required", "risk_drivers").alias("pkyc"),
     )
-    return (
-        cases.join(scores.select("case_id", "ai_risk", "model_score", "rules_score"), "case_id", "left")
+    # a case is shuffled by name and by id while it is narrow; the customer's lists, the widest
+    # part, are joined last and on one key, so that no later join shuffles them again
+    packs = (
+        cases.join(screened, "customer_name", "left")
+        .join(scores.select("case_id", "ai_risk", "model_score", "rules_score"), "case_id", "left")
+        .join(_timeline(notes, ["author", "note", "note_type"], "notes", k_events), "case_id", "left")
+        .join(_timeline(actions, ["action", "reason", "actor"], "actions", k_events), "case_id", "left")
         .join(flagged, "customer_id", "left")
         .join(network, "customer_id", "left")
         .join(risk, "customer_id", "left")
-        .join(screened, "customer_name", "left")
-        .join(_timeline(notes, ["author", "note", "note_type"], "notes", k_events), "case_id", "left")
-        .join(_timeline(actions, ["action", "reason", "actor"], "actions", k_events), "case_id", "left")
+    )
+    keys = ["case_id", "customer_name", "customer_id"]
+    return packs.select(
+        *keys, *[c for c in cases.columns if c not in keys], "ai_risk", "model_score", "rules_score",
+        "transactions", "network", "pkyc", "screening", "notes", "actions",
     )
 
 

@@ -16,6 +16,7 @@ from lakewarden.operators.rings import best_rings
 from lakewarden.operators.screening import screen_names
 from lakewarden.operators.skew import carry_last, join_unique, previous
 from lakewarden.operators.vectors import vector_topk
+from lakewarden.plans.cases import case_evidence
 from lakewarden.sources import tables
 
 HOT = SkewPolicy(hot_rows=3, slice_rows=2)
@@ -378,3 +379,35 @@ def test_lag_shuffles_no_second_copy_of_its_columns(spark):
     assert sorted(map(tuple, got.collect()), key=str) == [("a", 1, "x", None), ("a", 2, "y", "x"), (None, 1, "z", None)]
     shuffled = _shuffles(got)
     assert shuffled and all(set(names) <= {"k", "t", "v"} for names in shuffled)
+
+
+def test_evidence_lists_are_not_shuffled_with_their_cases(spark):
+    def rows(schema, *values):
+        return spark.createDataFrame(list(values), schema)
+
+    event = "case_id string, created_at timestamp"
+    pack = case_evidence(
+        rows("case_id string, customer_id string, customer_name string, scenario string",
+             ("C1", "U1", "Ann", "s"), ("C2", "U1", "Ann", "s"), ("C3", None, None, "s")),
+        rows("case_id string, ai_risk double, model_score double, rules_score double", ("C1", 9.0, 0.9, 0.1)),
+        rows("account_id string, customer_id string", ("A1", "U1"), ("A2", None)),
+        rows("account_id string, transaction_id string, amount double, direction string, channel string,"
+             " txn_ts timestamp, counterparty_id string",
+             ("A1", "T1", 5.0, "debit", "wire", None, "P1"), ("A1", "T2", 7.0, "credit", "wire", None, "P2")),
+        rows("third_party_id string, full_name string, country string", ("P1", "Pat", "ZA")),
+        rows(event + ", note_id string, author string, note string, note_type string", ("C2", None, "N1", "a", "n", "t")),
+        rows(event + ", action_id string, action string, reason string, actor string", ("C1", None, "X1", "a", "r", "u")),
+        rows("entity_name string, watch_name string, list_type string, confidence string, match_score double,"
+             " screening_id string", ("Ann", "Anne", "pep", "high", 0.9, "S1")),
+        rows("customer_id string, dynamic_risk bigint, risk_band string, edd_review_required boolean,"
+             " risk_drivers string", ("U1", 50, "high", True, "d")),
+    )
+    wide = {"transactions", "network"}
+    assert not [names for names in _shuffles(pack) if "case_id" in names and wide & set(names)]
+    assert pack.columns[:3] == ["case_id", "customer_name", "customer_id"]
+    got = {r["case_id"]: r for r in pack.collect()}
+    assert [t["transaction_id"] for t in got["C2"]["transactions"]] == ["T2", "T1"]
+    assert [len(got[c]["network"]) for c in ("C1", "C2")] == [2, 2] and got["C1"]["screening"][0]["watch_name"] == "Anne"
+    assert got["C1"]["ai_risk"] == 9.0 and got["C2"]["ai_risk"] is None and got["C1"]["pkyc"]["risk_band"] == "high"
+    assert got["C2"]["notes"][0]["note_id"] == "N1" and got["C1"]["actions"][0]["action_id"] == "X1"
+    assert all(got["C3"][c] is None for c in ("transactions", "network", "screening", "pkyc", "notes", "actions"))
