@@ -245,3 +245,46 @@ def test_jaccard_far_candidates_drop_before_their_texts(spark):
     pairs = jc.candidates(sets).cache()
     assert pairs.count() > 100
     assert jc.near(pairs, sets).count() == 1 == jc.jaccard_links(rows)[1].count()
+
+
+def test_jaccard_counts_links_in_tiles_without_a_row_for_each_pair(spark, monkeypatch):
+    """One large cluster of near copies is dealt as members of tiles; its links are counted, not listed."""
+    from lakewarden.llm import jaccard as jc
+
+    monkeypatch.setattr(jc, "BLOCK", 64)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(240)]
+    rows = []
+    for i in range(160):
+        now = list(base)
+        now[rng.randrange(240)] = f"x{i}"
+        now[rng.choice([3, 120, 230])] = f"y{i}"
+        rows.append((i, " ".join(now)))
+    rows += [(500 + i, rows[0][1]) for i in range(3)] + [(600 + i, f"{rows[i][1]} {rows[i + 1][1]}") for i in range(6)]
+    data = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], SCHEMA)
+    sets = jc.described(data, *jc.ordered_shingles(data)).cache()
+    dealt = jc.tiles(sets).cache()
+    nodes = sets.select("node").distinct().count()
+    assert dealt.count() < 20 * nodes
+    assert dealt.groupBy("tile", "role").count().agg({"count": "max"}).first()[0] <= 2 * 64
+    assert jc.sketched(dealt, sets).count() <= dealt.count()
+    got = {r.id: (r.n_shingles, r.component, r.n_links) for r in jc.jaccard_join(data).collect()}
+    assert got == brute_jaccard(rows)
+    assert sum(n for _, _, n in got.values()) > 20 * nodes
+
+
+def test_jaccard_order_knows_common_keys_outside_the_sample(spark, monkeypatch):
+    """A phrase of some rows that the sample misses is no key any more; a set without it keeps its prefix."""
+    import numpy as np
+
+    from lakewarden.llm import jaccard as jc
+
+    monkeypatch.setattr(jc, "ORDER_ROWS", 1)
+    phrase = [f"p{k}" for k in range(7)]
+    rows = [(i, " ".join([*phrase, *(f"x{i}_{k}" for k in range(40))]), None, None, 0) for i in range(60)]
+    data = spark.createDataFrame([*rows, (99, "a b c d e f g h i j", None, None, 0)], SCHEMA)
+    none = np.zeros(0, np.uint64)
+    before, after = jc.described(data, none, none).collect(), jc.described(data, *jc.ordered_shingles(data)).collect()
+    seen = collections.Counter(k for r in before for k in r.keys)
+    assert max(seen.values()) >= 60 and max(collections.Counter(k for r in after for k in r.keys).values()) == 1
+    assert [sorted(r.keys) for r in before if r.id == 99] == [sorted(r.keys) for r in after if r.id == 99]
