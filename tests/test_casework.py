@@ -201,6 +201,25 @@ def test_trained_model_beats_chance(spark):
     assert learning.auc(judged, "model_score", "sar_filed", "mid").first()[0] > 0.8
 
 
+@pytest.mark.parametrize("frame", ["adverse_media", "alerts"])
+def test_customer_pack_cuts_entities_of_many_customers(spark, monkeypatch, frame):
+    """All pairs of an entity of many customers and many alerts or articles, made by many tasks."""
+    monkeypatch.setattr(risk, "CELL_ROWS", 500, raising=False)
+    monkeypatch.setattr(risk, "BLOCK_OWNERS", 7, raising=False)
+    profiles = spark.range(120).selectExpr("concat('C', id) customer_id", "if(id < 100, 'HOT', if(id < 110, concat('E', id), null)) entity_id")
+    profiles = profiles.unionByName(profiles.filter("customer_id in ('C1', 'C105')"))
+    owned = "case when id < 200 then 'HOT' when id < 230 then concat('E', id % 20 + 100) end"
+    alerts = spark.range(240).selectExpr(
+        f"{owned} primary_entity_id", "concat('A', id % 237) alert_id", "'t' alert_type", "'high' severity", "timestamp_seconds(id) triggered_at", "0.5D score", "'x' explanation")
+    media = spark.range(240).selectExpr(f"{owned} entity_id", "concat('D', id) article_id", "'h' headline", "'s' source", "date'2024-01-01' published_at")
+    found, entity = (alerts, "primary_entity_id") if frame == "alerts" else (media, "entity_id")
+    got = risk.customer_pack(profiles, alerts, media)[frame]
+    plain = profiles.join(found.withColumnRenamed(entity, "entity_id"), "entity_id").select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect())) and plain.count() > 20_000
+    tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) > 15 and max(tasks) < 6_000
+
+
 def test_pkyc_components(spark, ledger, accounts, emap):
     customers = spark.createDataFrame([("C1", "UAE", 100.0, True), ("C2", "ZA", None, False)],
                                       "customer_id string, country string, declared_monthly_turnover double, pep_flag boolean").selectExpr(
