@@ -340,6 +340,18 @@ def test_documents_are_landed_by_the_tasks(spark, tmp_path):
     assert sorted(r.doc_text for r in tables.read_documents(spark, str(tmp_path / "landed" / "*")).collect()) == sorted(["a\nb\n", "\n", "\n", "é \r\n x\n"])
 
 
+def test_landed_documents_share_the_folder_of_their_task(spark, tmp_path):
+    """Listing meets a folder a task, not a folder a document; names, repeated, empty and missing keys stay readable."""
+    rows = [(str(i), f"text {i}") for i in range(50)] + [("a/b", "x"), (None, "y"), ("7", "again")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").coalesce(1)
+    tables.land_documents(docs, str(tmp_path / "landed"), "doc_id", "text")
+    assert [p.name for p in (tmp_path / "landed").iterdir()] == ["task=00000"]
+    found = {r["file_path"].rsplit("/", 1)[1]: r["doc_text"] for r in tables.read_documents(spark, str(tmp_path / "landed" / "*")).collect()}
+    assert len(found) == 52 and found["doc_id=12.txt"] == "text 12\n" and sorted(found["doc_id=7.txt"].split("\n")) == ["", "again", "text 7"]
+    odd = [text for name, text in found.items() if "HIVE" in name or "a%" in name]
+    assert sorted(odd) == ["x\n", "y\n"]
+
+
 def test_parts_are_small_enough_to_sort_in_memory(spark):
     """One scan split or shuffle part stays at 16 MB, and small files are not held for 4 MB each."""
     from lakewarden.session import configure
