@@ -70,15 +70,21 @@ def alert_summary(alerts: DataFrame) -> DataFrame:
 
 
 def alert_history(alerts: DataFrame, feedback: DataFrame, k: int = 5) -> DataFrame:
-    """Alert detail with its last ``k`` feedback rows, for any set of alerts."""
-    latest = top_k(feedback, ["alert_id"], [F.desc("created_at"), F.desc("feedback_id")], k)
+    """Alert detail with its last ``k`` feedback rows, for any set of alerts.
+
+    The newest row of a history also gives the effective status, so that the feedback
+    is shuffled once; feedback of no alert is left at its scan.
+    """
+    known = feedback.filter(F.col("alert_id").isNotNull())
+    latest = top_k(known, ["alert_id"], [F.desc("created_at"), F.desc("feedback_id")], k)
     entry = F.struct(
         "created_at", "feedback_id", F.col("status").alias("status"), "analyst_feedback", "analyst"
     )
     history = latest.groupBy("alert_id").agg(
         F.sort_array(F.collect_list(entry), asc=False).alias("feedback_history")
     )
-    return effective_status(alerts, feedback).join(history, "alert_id", "left")
+    newest = F.get("feedback_history", F.lit(0))["status"]
+    return alerts.join(history, "alert_id", "left").withColumn("status", F.coalesce(newest, "status"))
 
 
 def high_severity_feed(alerts: DataFrame, link_base: str = "/alerts/") -> DataFrame:

@@ -18,7 +18,7 @@ from lakewarden.operators.conform import conform_transactions
 from lakewarden.operators.entities import entity_map, resolve_entities
 from lakewarden.operators.screening import screen_names
 from lakewarden.plans import cases, detectors, learning, risk
-from lakewarden.session import configure, scratch_path
+from lakewarden.session import configure, release_shuffles, scratch_path
 from lakewarden.sources.roles import AS_OF_EVENTS, AS_OF_LEDGER, Roles
 from lakewarden.sources.tables import values_df, watchlist, write_overwrite
 from lakewarden.schemas import WATCHLIST
@@ -48,7 +48,10 @@ class Lake:
         df = build()
         path = scratch_path(self.spark, name)
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        schema = df.schema
+        del df
+        release_shuffles(self.spark)
+        return self.spark.read.schema(schema).parquet(path)
 
     # conformed
 

@@ -88,6 +88,20 @@ def test_effective_status_and_queue(spark):
     assert [f["status"] for f in hist["1"]] == ["confirmed"] and hist["2"] is None
 
 
+def test_alert_history_ranks_its_feedback_once(spark, tmp_path):
+    """Status and history come from one pass over the feedback: newest row, missing status, feedback of no alert."""
+    spark.createDataFrame([("1", "new"), ("2", "new"), ("3", "open")], "alert_id string, status string").write.parquet(str(tmp_path / "a"))
+    spark.createDataFrame(
+        [("1", "dismissed", 1, "a"), ("1", "confirmed", 2, "b"), ("1", "reviewing", 2, "a"), ("3", None, 5, "c"), ("3", "dismissed", 4, "d"),
+         ("1", "late", None, "z"), (None, "dismissed", 9, "e")], "alert_id string, status string, n int, feedback_id string",
+    ).selectExpr("*", "timestamp_seconds(n) created_at", "'' analyst_feedback", "'me' analyst").write.parquet(str(tmp_path / "f"))
+    got = aq.alert_history(spark.read.parquet(str(tmp_path / "a")), spark.read.parquet(str(tmp_path / "f")), 3)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+    assert got.columns == ["alert_id", "status", "feedback_history"]
+    rows = {r["alert_id"]: (r["status"], r["feedback_history"] and [f["status"] for f in r["feedback_history"]]) for r in got.collect()}
+    assert rows == {"1": ("confirmed", ["confirmed", "reviewing", "dismissed"]), "2": ("new", None), "3": ("open", [None, "dismissed"])}
+
+
 PACK_TXN = "array<struct<transaction_id:string,amount:double,direction:string,channel:string,txn_ts:timestamp,counterparty_id:string>>"
 
 
