@@ -176,3 +176,34 @@ def test_lane_names_odd_values_once_a_row(spark):
                 break
             body += ch
         assert "cast" not in body
+
+
+def test_landed_rows_are_packed_and_come_back(spark, tmp_path):
+    """Landing files hold the rows packed, and the lane reads the same rows from them."""
+    from lakewarden.suite.streams import _drop
+
+    rows = spark.range(20_000).selectExpr(
+        "concat('TX-', id) transaction_id", "concat('ACC', id % 50) account_id", "'debit' direction", "id / 7.0D amount",
+        "timestamp_seconds(id) txn_ts", "timestamp_seconds(id) _ingested_at").coalesce(2)
+    rows.drop("_ingested_at").write.json(str(tmp_path / "plain"))
+    _drop(rows, str(tmp_path / "landing"))
+
+    def size(name):
+        return sum(f.stat().st_size for f in (tmp_path / name).glob("part-*"))
+
+    assert size("landing") * 3 < size("plain")
+    lane = stream_ledger(spark, str(tmp_path / "landing"), stamp=clock.at("2024-01-01"))
+    append_lane(lane, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    columns = ["transaction_id", "account_id", "direction", "amount", "txn_ts"]
+    landed = spark.read.parquet(str(tmp_path / "out"))
+    assert landed.count() == 20_000 and landed.select(columns).exceptAll(rows.select(columns)).isEmpty()
+
+
+def test_saved_tables_free_their_shuffles(spark, monkeypatch):
+    """A table of the lake gives up its shuffle files once it is written."""
+    from lakewarden.plans import medallion
+
+    freed = []
+    monkeypatch.setattr(medallion, "release_shuffles", freed.append, raising=False)
+    lake = medallion.Lake(spark, "none")
+    assert lake._saved("t", lambda: spark.range(9).repartition(3)).count() == 9 and freed == [spark]
