@@ -73,7 +73,7 @@ def alert_history(alerts: DataFrame, feedback: DataFrame, k: int = 5) -> DataFra
     """Alert detail with its last ``k`` feedback rows, for any set of alerts.
 
     The newest row of a history also gives the effective status, so that the feedback
-    is shuffled once; feedback of no alert is left at its scan.
+    is shuffled once; feedback without an alert id is left at its scan.
     """
     known = feedback.filter(F.col("alert_id").isNotNull())
     latest = top_k(known, ["alert_id"], [F.desc("created_at"), F.desc("feedback_id")], k)
